@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, store
+from . import minhash, quality, store, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -21,3 +21,45 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.table(spark, sf_dir, "documents").select("doc_id", "text")
     return minhash.near_duplicates(docs, minhash.Settings(percent=85))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = store.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.classify(docs, labels)
+
+
+#: The rules (host, path, verdict) that the query is given.
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(store.table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+ORACLE_SQL["op6_url_filter"] = r"""
+with rest as (
+  select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r
+  from pages
+), parsed as (
+  select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path
+  from rest
+), rules(rh, rp, rv) as (
+  values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits as (
+  select page_id, host, path, rh || rp as rule, rv,
+         row_number() over (partition by page_id, host, path order by length(rh || rp) desc, length(rh) desc) as k
+  from parsed join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)
+)
+select p.page_id, coalesce(p.host, '') as host, coalesce(p.path, '') as path, f.rule, coalesce(f.rv, 'allow') as verdict
+from parsed p left join fits f on f.k = 1 and f.page_id = p.page_id and f.host = p.host and f.path = p.path
+"""
