@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality, store, urlfilter
+from . import minhash, quality, store, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,3 +63,20 @@ with rest as (
 select p.page_id, coalesce(p.host, '') as host, coalesce(p.path, '') as path, f.rule, coalesce(f.rv, 'allow') as verdict
 from parsed p left join fits f on f.k = 1 and f.page_id = p.page_id and f.host = p.host and f.path = p.path
 """
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = store.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write_archives(pages, store.new_path(spark, "warc"))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op4_warc"] = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+q as (select page_id, octet_length(encode(h)) as n, sha256(h) as d, min(page_id) over (partition by h) as f from p)
+select page_id, n as payload_bytes, d as payload_digest,
+       case when n >= 100 and page_id <> f then 'revisit' else 'response' end as record_type,
+       case when n >= 100 and page_id <> f then f end as refers_to
+from q
+"""
