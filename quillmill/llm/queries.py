@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality, store, urlfilter, warc
+from . import minhash, quality, rules, store, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,3 +80,44 @@ select page_id, n as payload_bytes, d as payload_digest,
        case when n >= 100 and page_id <> f then f end as refers_to
 from q
 """
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(store.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+ORACLE_SQL["op1_quality_rules"] = r"""
+with d as (
+  select doc_id, coalesce(source, '') as host, text as raw, coalesce(text, '') as t from documents
+), w as (
+  select doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, string_split(t, chr(10)) as ls, t, host, raw from d
+), g as (
+  select doc_id, i, list_slice(ws, i, i + 7) as g
+  from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)
+), r as (
+  select doc_id, i, lead(i) over (partition by doc_id order by i) as j
+  from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1
+), rep as (
+  select doc_id, sum(case when j is null then 8 else least(8, j - i) end) as n from r group by doc_id
+), l as (
+  select host, raw, doc_id, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n,
+         trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as nl
+  from (select host, raw, doc_id, unnest(ls) as x from w where raw is not null)
+), often as (
+  select host, nl from l where n > 0 group by host, nl having count(distinct raw) > 100
+), lost as (
+  select doc_id, sum(n) as n from l join often using (host, nl) where n > 0 group by doc_id
+), m as (
+  select w.doc_id, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+         len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) as n_dup_lines,
+         cast(coalesce(rep.n, 0) as bigint) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as lost_words
+  from w left join rep using (doc_id) left join lost using (doc_id)
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words)
+         and not (lost_words > 0 and (n_words - lost_words < 20 or 100 * lost_words > 80 * n_words)) as kept, lost_words
+from m
+"""
