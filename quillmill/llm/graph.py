@@ -2,8 +2,8 @@
 
 `components` contracts a graph: every node points to its smallest neighbour, pointers
 are shortened, links are relabelled, and what is left is a smaller graph. `grouped`
-finds the links that join candidates of shared buckets: first every member against one
-hub of its bucket, then only members whose groups still differ.
+finds the links that join candidates of shared buckets: members against hubs of their
+buckets first, then only members whose groups still differ.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import store
 
-Verify = Callable[[DataFrame], DataFrame]
+Verify = Callable[[DataFrame, bool], DataFrame]
 
 
 def _pointers(links: DataFrame) -> DataFrame:
@@ -55,37 +55,51 @@ def components(links: DataFrame) -> DataFrame:
             return found
 
 
-def grouped(buckets: DataFrame, verify: Verify) -> DataFrame:
+def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4) -> DataFrame:
     """(node, component) for the nodes that verify() links to another one.
 
-    buckets(key, id): nodes that share a key are candidates. verify(pairs(a, b)) returns
-    the pairs (a, b) that hold, a < b. The result is that of all candidate pairs: a pair
-    is left out only when its two nodes are already in one group. First each member
-    meets the smallest id of its bucket. Then, in buckets whose members still have
-    different groups, all members outside of the largest group meet every member of
-    another group. Work in a bucket is thus its size times the number of its strays.
+    buckets(key, id): nodes that share a key are candidates. verify(pairs(a, b), some)
+    returns (a, b, linked) for a < b; if `some`, it may leave pairs out. The result is
+    that of all candidate pairs: a pair is never tested only when its two nodes are in one
+    group already. In each round every member of a bucket that is not in the hub's group
+    meets the hub, and each round draws other hubs. At last, in buckets that still hold
+    several groups, the members outside of the largest group meet all members of other
+    groups, so work in a bucket is its size times the number of its strays.
     """
-    sizes = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").drop("top")
-    shared = store.written(buckets.join(sizes, "key"), "buckets")
-    star = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = store.written(verify(star), "links")
-    first = store.written(components(links), "components")
-
-    labels = first.select(F.col("node").alias("id"), F.col("component").alias("label"))
-    members = shared.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    per_label = members.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = per_label.groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")
-    ).where("labels > 1").select("key", "main")
-    open_ = store.written(members.join(main, "key"), "open")
-    strays = open_.where("label <> main").select("key", F.col("id").alias("s"), F.col("label").alias("s_label"))
-    pairs = (
-        strays.join(open_, "key")
-        .where("label <> s_label and (label = main or s < id)")
-        .select(F.least("s", "id").alias("a"), F.greatest("s", "id").alias("b"))
-        .distinct()
-    )
-    more = store.written(verify(pairs.join(links, ["a", "b"], "left_anti")), "links")
-    if store.is_empty(more):
-        return first
-    return components(links.unionAll(more))
+    sizes = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    open_ = store.written(buckets.join(sizes.select("key"), "key", "left_semi").distinct().withColumn("label", F.col("id")), "buckets")
+    tested = found = None
+    for k in range(rounds + 1):
+        if k < rounds:
+            drawn = open_.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "key", F.lit(k))).alias("hub"))
+            pairs = open_.join(drawn, "key").where("label <> hub.label").select("id", F.col("hub.id").alias("other"))
+        else:
+            largest = open_.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
+                F.max_by("label", F.struct("n", "label")).alias("main")
+            )
+            ranked = open_.join(largest, "key")
+            strays = ranked.where("label <> main").select("key", "id", F.col("label").alias("own"))
+            others = ranked.select("key", F.col("id").alias("other"), "label", "main")
+            pairs = strays.join(others, "key").where("label <> own and (label = main or id < other)").select("id", "other")
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        now = store.written(verify(pairs, k < rounds), "tested")
+        tested = now if tested is None else tested.unionAll(now)
+        if not store.is_empty(now.where("linked")):
+            found = store.written(components(tested.where("linked").select("a", "b")), "components")
+            labels = found.select(F.col("node").alias("id"), F.col("component").alias("to"))
+            named = open_.join(labels, "id", "left").select("key", "id", F.coalesce("to", "label").alias("label"))
+        elif k < rounds and not store.is_empty(now):
+            continue
+        else:
+            named = open_
+        if k == rounds:
+            break
+        several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        open_ = store.written(named.join(several.select("key"), "key", "left_semi"), "open")
+        if store.is_empty(open_):
+            break
+    if found is None:
+        return buckets.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    return found

@@ -55,12 +55,13 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[list[np.ndarray]]:
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
-    """n 32-bit minima for each non-empty set."""
+    """n minima for each non-empty set, the low 16 bits of each: two sets agree by chance
+    in one value of 65536, which only adds candidates."""
     flat = np.concatenate(sets)
     at = np.cumsum([0, *map(len, sets)][:-1])
     low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
     rng = np.random.default_rng(77)
-    out = np.empty((len(sets), n), np.uint32)
+    out = np.empty((len(sets), n), np.uint16)
     for k in range(n):
         a, b = (rng.integers(0, 1 << 31, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
         h = (low ^ b) * a
@@ -88,7 +89,7 @@ def _describe(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Rec
 
 def _bands(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, s.bands * s.rows).astype(np.uint64)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, s.bands * s.rows).astype(np.uint64)
         rows = sig.reshape(-1, s.bands, s.rows) * arrays.LANES[: s.rows]
         keys = arrays.mix(rows.sum(axis=2, dtype=np.uint64) + arrays.mix(np.arange(s.bands, dtype=np.uint64)))
         ids = np.repeat(batch.column(0).to_numpy(), s.bands)
@@ -115,13 +116,14 @@ def _prune(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Record
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, k) for c in (2, 3))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, k) for c in (2, 3))
         alive, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+        live = np.zeros(len(x), bool)
         for n, least in limits:
             matches[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
             alive, done = alive[matches[alive] >= least], n
-        take = pa.array(alive)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(matches[alive])], names=["a", "b", "matches"])
+        live[alive] = True
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(matches), pa.array(live)], names=["a", "b", "matches", "alive"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
@@ -148,17 +150,26 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         texts.mapInArrow(lambda it: _describe(it, s), "doc_id long, n_shingles long, digest binary, sig binary"), "signatures"
     )
     full = described.where("digest is not null and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = store.written(full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), "classes")
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-    rep_sig = store.written(full.join(reps, "doc_id").groupBy("doc_id").agg(F.max("sig").alias("sig")), "representatives")
-    buckets = rep_sig.mapInArrow(lambda it: _bands(it, s), "key long, id long")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = rep_sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
-        b = rep_sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
+    # equal sets have equal signatures: one of each class stands for all its documents
+    classes = store.written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig")), "classes")
+    buckets = classes.select("rep", "sig").mapInArrow(lambda it: _bands(it, s), "key long, id long")
+
+    def verify(pairs: DataFrame, some: bool) -> DataFrame:
+        a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
+        b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
         wide = pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b")
-        alive = store.written(wide.mapInArrow(lambda it: _prune(it, s), "a long, b long, matches long"), "candidates")
+        rated = store.written(
+            wide.mapInArrow(lambda it: _prune(it, s), "a long, b long, matches long, alive boolean")
+            .groupBy("a", "b").agg(F.max("matches").alias("matches"), F.max("alive").alias("alive")),
+            "candidates",
+        )
+        alive = rated.where("alive")
+        if some:  # the likeliest partner of each; the others only if groups still differ
+            best = alive.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
+            alive = best.select("a", "b").unionAll(
+                alive.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b")).select("a", "b")
+            ).distinct()
+        alive = store.written(alive.select("a", "b"), "alive")
         wanted = alive.select(F.col("a").alias("doc_id")).unionAll(alive.select("b")).distinct()
         sets = store.written(
             texts.join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, s), "doc_id long, shingles array<long>"), "sets"
@@ -166,17 +177,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        return (
-            alive.join(x, "a").join(y, "b")
-            .where(100 * both >= s.percent * (F.size("x") + F.size("y") - both))
-            .select("a", "b")
-            .distinct()
+        exact = alive.join(x, "a").join(y, "b").select(
+            "a", "b", (100 * both >= s.percent * (F.size("x") + F.size("y") - both)).alias("linked")
         )
+        exact = exact.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+        return exact.unionAll(rated.where("not alive").select("a", "b", F.lit(False)))
 
     linked = graph.grouped(buckets, verify)
-    found = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", F.coalesce("component", "rep").alias("component_id")
-    )
+    named = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("digest", F.coalesce("component", "rep").alias("component_id"))
+    found = full.select("doc_id", "digest").join(named, "digest")
     # a doc_id in rows with different texts has one group: its smallest
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = described.select("doc_id", "n_shingles").join(found, "doc_id", "left")
