@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, quality, rules, store, urlfilter, warc
+from . import decontam, minhash, quality, rules, store, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,3 +122,39 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
          and not (lost_words > 0 and (n_words - lost_words < 20 or 100 * lost_words > 80 * n_words)) as kept, lost_words
 from m
 """
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(docs, store.table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE_SQL["op8_decontamination"] = r"""
+with dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), bw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), bg as (
+  select distinct item_id, n, list_slice(w, i, i + n - 1) as g
+  from (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from bw where len(w) > 0)
+), dg as (
+  select doc_id, n, i, list_slice(w, i, i + n - 1) as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from dw, (select distinct n from bg) where len(w) >= n)
+), occ as (
+  select doc_id, item_id, i, n from dg join bg using (n, g)
+), hit as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from occ) group by doc_id
+), it as (
+  select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as x from occ) group by doc_id
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join hit using (doc_id) left join it using (doc_id)
+"""
