@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -55,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
             return found
 
 
-def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4) -> DataFrame:
+def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, component) for the nodes that verify() links to another one.
 
     buckets(key, id): nodes that share a key are candidates. verify(pairs(a, b), some)
@@ -64,12 +64,16 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4) -> DataFrame:
     group already. In each round every member of a bucket that is not in the hub's group
     meets the hub, and each round draws other hubs. At last, in buckets that still hold
     several groups, the members outside of the largest group meet all members of other
-    groups, so work in a bucket is its size times the number of its strays.
+    groups, so work in a bucket is its size times the number of its strays. near(a, b),
+    where given, is a condition on the ids alone that every link meets.
     """
     sizes = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    open_ = store.written(buckets.join(sizes.select("key"), "key", "left_semi").distinct().withColumn("label", F.col("id")), "buckets")
+    open_ = store.written(buckets.join(sizes.select("key"), "key", "left_semi").withColumn("label", F.col("id")), "buckets")
     tested = found = None
-    for k in range(rounds + 1):
+    last = False  # no round found a link: only the exhaustive one is left
+    for k in [*range(rounds), rounds]:
+        if k < rounds and last:
+            continue
         if k < rounds:
             drawn = open_.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "key", F.lit(k))).alias("hub"))
             pairs = open_.join(drawn, "key").where("label <> hub.label").select("id", F.col("hub.id").alias("other"))
@@ -81,7 +85,10 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4) -> DataFrame:
             strays = ranked.where("label <> main").select("key", "id", F.col("label").alias("own"))
             others = ranked.select("key", F.col("id").alias("other"), "label", "main")
             pairs = strays.join(others, "key").where("label <> own and (label = main or id < other)").select("id", "other")
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        if near is not None:
+            pairs = pairs.where(near(F.col("a"), F.col("b")))
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         now = store.written(verify(pairs, k < rounds), "tested")
@@ -90,13 +97,13 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4) -> DataFrame:
             found = store.written(components(tested.where("linked").select("a", "b")), "components")
             labels = found.select(F.col("node").alias("id"), F.col("component").alias("to"))
             named = open_.join(labels, "id", "left").select("key", "id", F.coalesce("to", "label").alias("label"))
-        elif k < rounds and not store.is_empty(now):
-            continue
         else:
-            named = open_
+            named, last = open_, True
         if k == rounds:
             break
-        several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
+        if near is not None and k == 0:  # the only pair of a bucket of two has been tested
+            several = several.where("n > 2")
         open_ = store.written(named.join(several.select("key"), "key", "left_semi"), "open")
         if store.is_empty(open_):
             break
