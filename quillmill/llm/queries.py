@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, minhash, quality, rules, store, urlfilter, warc
+from . import decontam, licenses, lines, minhash, mixing, quality, rules, store, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,3 +164,16 @@ from dw left join hit using (doc_id) left join it using (doc_id)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.deduplicated(store.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_gone", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licenses.scan(docs, licenses.known_licenses(spark))
+    return out.withColumn("notices", F.array_join("notices", ","))
