@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, minhash, mixing, quality, rules, store, urlfilter, warc
+from . import decontam, licenses, lines, minhash, mixing, quality, repeats, rules, store, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,3 +177,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = licenses.scan(docs, licenses.known_licenses(spark))
     return out.withColumn("notices", F.array_join("notices", ","))
+
+
+@query
+def op5_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(store.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256")

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 SPACE, NOT_SPACE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -128,18 +130,19 @@ def _judged(rows: DataFrame, s: Settings) -> DataFrame:
 def filtered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns, without the lines
     above the limit; n_chars, where present, follows the text."""
-    s = settings
-    verdict = _judged(_rows(docs), s).where("kept").select("_host", "_th", (F.col("lost_words") > 0).alias("_cut")).distinct()
+    s, key = settings, ["_host", "_th"]
+    verdict = _judged(_rows(docs), s).where("kept").select(*key, (F.col("lost_words") > 0).alias("_cut")).distinct()
+    verdict = store.written(verdict, "verdict")
+    often = frequent_lines(line_counts(_rows(docs)), s).select(*key, "_lh").join(verdict.where("_cut"), key, "left_semi")
     keyed = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_th": F.xxhash64(F.col("text").cast("string"))})
-    kept = keyed.join(verdict, ["_host", "_th"])
-    cut = kept.where("_cut").groupBy("_host", "_th").agg(F.first(F.col("text").cast("string")).alias("text"))
+    # the texts that lose lines, each once, taken apart and put together without them
+    cut = keyed.join(verdict.where("_cut").select(*key), key, "left_semi").groupBy(*key).agg(F.max(F.col("text").cast("string")).alias("text"))
     lines = cut.select("_host", "_th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("_lh", F.xxhash64(normal_line(F.col("line"))))
-    often = frequent_lines(line_counts(_rows(docs)), s).select("_host", "_th", "_lh")
     left = lines.join(often, ["_host", "_th", "_lh"], "left_anti").groupBy("_host", "_th").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("_left")
     )
-    out = kept.join(left, ["_host", "_th"], "left").withColumn("text", F.coalesce("_left", "text"))
+    out = keyed.join(verdict, key).join(left, key, "left").withColumn("text", F.coalesce("_left", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
