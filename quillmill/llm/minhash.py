@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays, graph, store
+from . import arrays, bloom, graph, store
 
 
 @dataclass(frozen=True)
@@ -154,6 +154,24 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     classes = store.written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig")), "classes")
     buckets = classes.select("rep", "sig").mapInArrow(lambda it: _bands(it, s), "key long, id long")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = store.written(ids.distinct(), "wanted")
+        found = bloom.candidates(texts, ids, ["doc_id"]).join(ids, "doc_id").select("doc_id", "text")
+        return found.mapInArrow(lambda it: _sets(it, s), "doc_id long, shingles array<long>")
+
+    def narrow(open_: DataFrame) -> DataFrame:
+        """Prefixes instead of bands: with its shingles in the order of how many open
+        documents have them, a set shares one of its first n - ceil(t * n) + 1 shingles
+        with every set of similarity t. A shingle that no other has leads nowhere."""
+        sets = store.written(sets_of(open_.select(F.col("id").alias("doc_id"))), "open-sets")
+        shingles = sets.select("doc_id", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+        counted = shingles.groupBy("key").agg(F.count("*").alias("n"))
+        ranked = shingles.join(counted, "key").groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("order"))
+        first = F.col("size") - F.expr(f"int(({s.percent} * size + 99) div 100)") + 1
+        kept = ranked.select("doc_id", F.explode(F.slice("order", F.lit(1), first)).alias("o")).where("o.n > 1")
+        labels = open_.groupBy("id").agg(F.min("label").alias("label"))
+        return kept.select(F.col("o.key").alias("key"), F.col("doc_id").alias("id")).join(labels, "id").select("key", "id", "label")
+
     def verify(pairs: DataFrame, some: bool) -> DataFrame:
         a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
         b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
@@ -170,10 +188,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
                 alive.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b")).select("a", "b")
             ).distinct()
         alive = store.written(alive.select("a", "b"), "alive")
-        wanted = alive.select(F.col("a").alias("doc_id")).unionAll(alive.select("b")).distinct()
-        sets = store.written(
-            texts.join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, s), "doc_id long, shingles array<long>"), "sets"
-        )
+        sets = store.written(sets_of(alive.select(F.col("a").alias("doc_id")).unionAll(alive.select("b"))), "sets")
         x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
@@ -183,7 +198,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         exact = exact.groupBy("a", "b").agg(F.max("linked").alias("linked"))
         return exact.unionAll(rated.where("not alive").select("a", "b", F.lit(False)))
 
-    linked = graph.grouped(buckets, verify)
+    linked = graph.grouped(buckets, verify, rounds=3, narrow=narrow)
     named = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("component_id"))
     found = full.select("doc_id", "digest").join(named, "digest")

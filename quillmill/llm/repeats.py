@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays, store
+from . import arrays, bloom, store
 
 U64 = np.uint64
 #: Bits of a place that break ties between equal k-grams (the leftmost wins).
@@ -29,13 +29,11 @@ PLACE = U64((1 << 28) - 1)
 @dataclass(frozen=True)
 class Settings:
     """length: bytes of a repeat. gram: bytes of the k-grams that samples begin with.
-    block: windows settled together on the second level. bloom_bits: the largest bit set
-    by which texts are left out of a shuffle."""
+    block: windows settled together on the second level."""
 
     length: int = 400
     gram: int = 100
     block: int = 16
-    bloom_bits: int = 1 << 26
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -148,30 +146,6 @@ def _windows(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
         )
 
 
-def _bloom(keys: DataFrame, s: Settings) -> np.ndarray:
-    """A bit set of the hashes of keys(doc_id, th); at most bloom_bits bits reach the driver."""
-    n = keys.count()
-    size = min(s.bloom_bits, 1 << max(15, (16 * n).bit_length()))
-    bit = F.pmod(F.xxhash64("doc_id", "th"), F.lit(size)) + 1  # buckets count from 1
-    rows = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros(size // 8 + 4096, np.uint8)
-    for r in rows:
-        at = (r["k"] - 1) * 4096
-        out[at : at + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    return np.append(np.unpackbits(out, bitorder="little")[:size], 0).astype(bool)
-
-
-def _hit(bits: np.ndarray):  # noqa: ANN202
-    packed, size = np.packbits(bits[:-1]), len(bits) - 1
-
-    @F.pandas_udf("boolean")
-    def hit(x):  # noqa: ANN001, ANN202
-        k = x.to_numpy() % size
-        return __import__("pandas").Series((packed[k >> 3] >> (7 - (k & 7))) & 1 > 0)
-
-    return hit(F.xxhash64("doc_id", "th"))  # the size is a power of 2
-
-
 def repeated_spans(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, th, spans) of the texts with a repeat: spans of bytes (low, end) that cover
     them, in no order and overlapping; th is xxhash64 of the text."""
@@ -190,7 +164,7 @@ def repeated_spans(docs: DataFrame, s: Settings) -> DataFrame:
     several = classes.groupBy("name").agg(F.count("*").alias("k")).where("k > 1").select("name")
     going = classes.join(several, "name", "left_semi").select("at.*", "name", "n")
     wanted = store.written(going.groupBy(*key).agg(F.collect_list(F.struct("low", "high", "sample", "name", "n")).alias("wanted")), "wanted")
-    texts = docs.where(_hit(_bloom(wanted.select(*key), s))).select("doc_id", "th", "text")
+    texts = bloom.candidates(docs.select("doc_id", "th", "text"), wanted.select(*key), key)
     named = wanted.withColumnsRenamed({"doc_id": "w_id", "th": "w_th"})
     texts = texts.join(named, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))).dropDuplicates(key)
     contexts = store.written(
@@ -266,9 +240,8 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), keep_text:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     spans = store.written(repeated_spans(rows, s), "spans")
-    hit = _hit(_bloom(spans.select("doc_id", "th"), s))
     # only texts that may have spans are shuffled; what the others give is known here
-    out = rows.withColumn("hit", hit).select(
+    out = bloom.marked(rows, spans.select("doc_id", "th"), ["doc_id", "th"]).select(
         "doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"),
         F.when(~F.col("hit"), F.sha2(F.col("text").cast("binary"), 256)).alias("whole"),
         F.when(F.col("hit") | F.lit(keep_text), F.col("text")).alias("text"),

@@ -131,8 +131,9 @@ def filtered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns, without the lines
     above the limit; n_chars, where present, follows the text."""
     s, key = settings, ["_host", "_th"]
-    verdict = _judged(_rows(docs), s).where("kept").select(*key, (F.col("lost_words") > 0).alias("_cut")).distinct()
-    verdict = store.written(verdict, "verdict")
+    # written before it is filtered: a filter pushed down would take the counts apart again
+    verdict = store.written(_judged(_rows(docs), s).select(*key, "kept", (F.col("lost_words") > 0).alias("_cut")), "verdict")
+    verdict = verdict.where("kept").select(*key, "_cut").distinct()
     often = frequent_lines(line_counts(_rows(docs)), s).select(*key, "_lh").join(verdict.where("_cut"), key, "left_semi")
     keyed = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_th": F.xxhash64(F.col("text").cast("string"))})
     # the texts that lose lines, each once, taken apart and put together without them
