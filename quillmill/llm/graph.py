@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from . import bloom, store
 
 Verify = Callable[[DataFrame, bool], DataFrame]
 
@@ -69,8 +69,10 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, near: Callable[
     where given, is a condition on the ids alone that every link meets. narrow(open),
     where given, makes smaller buckets(key, id, label) that still join all links.
     """
-    sizes = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    open_ = store.written(buckets.join(sizes.select("key"), "key", "left_semi").withColumn("label", F.col("id")), "buckets")
+    # keys alone are counted first; ids travel only for keys that several share
+    several = store.written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    shared = bloom.candidates(buckets, several, ["key"]).join(several, "key", "left_semi")
+    open_ = store.written(shared.withColumn("label", F.col("id")), "buckets")
     tested = found = None
     last = False  # no round found a link: only the exhaustive one is left
     for k in [*range(rounds), rounds]:
