@@ -1,16 +1,315 @@
-"""Registered queries over the driver's tables and their DuckDB twins."""
+"""Registered queries over the driver's tables and their DuckDB twins: the operators that
+the document rules use, on ordinary tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import bags, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
+def anti_orphan_definition(spark: SparkSession, d: str) -> DataFrame:
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey")
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"))
+    return relations.anti_ref(orders, lines, ["key"]).select(F.col("key").alias("o_orderkey"), "o_custkey")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left_anti").select("o_orderkey", "o_custkey")
+    return anti_orphan_definition(spark, sf_dir)
+
+
+@query("select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def anti_unlabelled(spark: SparkSession, d: str) -> DataFrame:
+    return relations.anti_ref(read(spark, d, "documents").select("doc_id", "source"), read(spark, d, "labels"), ["doc_id"])
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1")
+def dup_keys(spark: SparkSession, d: str) -> DataFrame:
+    return relations.dup_keys(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def _flags(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = read(spark, d, "lineitem").select("l_partkey", "l_returnflag")
+    return lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'")
+
+
+_BAGS = """
+with a as (select l_partkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1),
+b as (select l_partkey, count(*) as n from lineitem where l_returnflag = 'A' group by 1)
+"""
+
+
+@query(_BAGS + "select l_partkey, a.n - coalesce(b.n, 0) as n from a left join b using (l_partkey) where a.n > coalesce(b.n, 0)")
+def bag_difference(spark: SparkSession, d: str) -> DataFrame:
+    return bags.bag_difference(*_flags(spark, d), ["l_partkey"])
+
+
+@query(_BAGS + "select l_partkey, least(a.n, b.n) as n from a join b using (l_partkey)")
+def bag_intersection(spark: SparkSession, d: str) -> DataFrame:
+    return bags.bag_intersection(*_flags(spark, d), ["l_partkey"])
+
+
+@query(_BAGS + "select l_partkey, coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b from a full join b using (l_partkey)")
+def bag_union(spark: SparkSession, d: str) -> DataFrame:
+    return bags.bag_union(*_flags(spark, d), ["l_partkey"])
+
+
+@query("""
+select case when grouping(source) = 0 then 'source' else 'lang' end as grouping, coalesce(source, lang) as value,
+       count(*) as docs, sum(n_chars)::bigint as chars
+from documents group by grouping sets ((source), (lang))
+""")
+def grouping_sets_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return relations.grouped_metrics(read(spark, d, "documents"), ["source", "lang"], [F.count("*").alias("docs"), F.sum("n_chars").alias("chars")])
+
+
+@query("""
+select a.event_id as first_id, b.event_id as second_id from events a join events b
+on a.user_id = b.user_id and (a.ts, a.event_id) < (b.ts, b.event_id) and b.ts - a.ts <= interval 10 minute
+""")
+def range_self_join(spark: SparkSession, d: str) -> DataFrame:
+    events = read(spark, d, "events").select("event_id", "user_id", "ts")
+    second = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    pairs = relations.near_pairs(
+        events, ["user_id"], "ts", F.col("b_ts") <= F.col("a_ts") + F.expr("interval 10 minutes"), [], F.floor(second / 600), "event_id"
+    )
+    return pairs.select(F.col("a_event_id").alias("first_id"), F.col("b_event_id").alias("second_id"))
+
+
+@query("""
+select event_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over
+  (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as last_signup from events
+""")
+def carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    value = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    out = relations.carry_forward(read(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], value, "last_signup")
+    return out.select("event_id", "last_signup")
+
+
+@query("""
+with r as (select *, case when event_type = lag(event_type) over w then 0 else 1 end as c from events window w as (partition by user_id order by ts, event_id)),
+s as (select *, sum(c) over (partition by user_id order by ts, event_id) as run from r),
+t as (select user_id, run::bigint as run, event_type, count(*) as n from s group by all)
+select user_id, run, event_type, n, lead(event_type) over (partition by user_id order by run) as next_event_type from t
+""")
+def islands_adjacent(spark: SparkSession, d: str) -> DataFrame:
+    return relations.islands(read(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type")
+
+
+@query("""
+with a(event_type, allowed) as (values ('click', 500), ('view', 300), ('signup', 20)),
+r as (select event_id, event_type, row_number() over (partition by event_type order by event_id) as k from events)
+select event_id, event_type from r left join a using (event_type) where k > coalesce(allowed, 0)
+""")
+def counted_allowance(spark: SparkSession, d: str) -> DataFrame:
+    allowed = spark.createDataFrame([("click", 500), ("view", 300), ("signup", 20)], "event_type string, allowed long")
+    return bags.counted_allowance(read(spark, d, "events").select("event_id", "event_type"), allowed, "event_type", [F.col("event_id")])
+
+
+@query("""
+with k as (select event_type, user_id, event_id from events where event_id % 2 = 0), i as (select event_id, event_type, user_id from events where event_id % 2 = 1),
+e as (select i.*, row_number() over (partition by event_type, user_id order by event_id) as nth from i),
+en as (select event_type, user_id, count(*) as n from k group by all), ln as (select event_type, count(*) as n from k group by all),
+x as (select e.*, coalesce(nth <= en.n, false) as ex from e left join en using (event_type, user_id)),
+u as (select event_type, count(*) as n from x where ex group by all),
+y as (select x.*, row_number() over (partition by event_type, ex order by event_id) as k from x)
+select event_id, event_type, user_id,
+       case when ex then 'exact' when k <= coalesce(ln.n, 0) - coalesce(u.n, 0) then 'loose' else 'new' end as level
+from y left join ln using (event_type) left join u using (event_type)
+""")
+def two_level_inherit(spark: SparkSession, d: str) -> DataFrame:
+    events = read(spark, d, "events").select("event_id", "event_type", "user_id")
+    known, items = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    return bags.two_level_inherit(items, known, ["event_type", "user_id"], ["event_type"], [F.col("event_id")])
+
+
+@query("""
+with l as (select o_orderpriority, o_orderkey, row_number() over (partition by o_orderpriority order by o_orderkey) as k from orders where o_orderstatus = 'F'),
+a as (select o_orderpriority, o_orderkey, row_number() over (partition by o_orderpriority order by o_orderkey) as k from orders where o_orderstatus = 'O')
+select o_orderpriority, k, l.o_orderkey as lost_o_orderkey, a.o_orderkey as added_o_orderkey from l full join a using (o_orderpriority, k)
+""")
+def pair_lost_added(spark: SparkSession, d: str) -> DataFrame:
+    orders = read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return bags.pair_lost_added(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'O'"), ["o_orderpriority"], "o_orderkey")
+
+
+@query("""
+with a as (select l_linenumber, l_partkey as p, l_suppkey as s, l_orderkey as ord from lineitem where l_orderkey % 50 = 0 qualify row_number() over (partition by l_linenumber, l_orderkey order by l_partkey, l_suppkey) = 1),
+b as (select l_linenumber, l_partkey as p, l_suppkey as s, l_orderkey as ord from lineitem where l_orderkey % 50 = 1 qualify row_number() over (partition by l_linenumber, l_orderkey order by l_partkey, l_suppkey) = 1),
+r1 as (select l_linenumber, x.ord as s_ord, y.ord as e_ord, 0 as round from
+  (select *, row_number() over (partition by l_linenumber, p order by ord) as k from a) x join
+  (select *, row_number() over (partition by l_linenumber, p order by ord) as k from b) y using (l_linenumber, p, k)),
+a2 as (select * from a where (l_linenumber, ord) not in (select (l_linenumber, s_ord) from r1)),
+b2 as (select * from b where (l_linenumber, ord) not in (select (l_linenumber, e_ord) from r1))
+select * from r1 union all
+select l_linenumber, x.ord, y.ord, 1 from
+  (select *, row_number() over (partition by l_linenumber, s order by ord) as k from a2) x join
+  (select *, row_number() over (partition by l_linenumber, s order by ord) as k from b2) y using (l_linenumber, s, k)
+""")
+def match_texts(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "lineitem").groupBy("l_linenumber", F.col("l_orderkey").alias("ord")).agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("m"))
+    lines = lines.select("l_linenumber", "ord", F.col("m.l_partkey").alias("p"), F.col("m.l_suppkey").alias("s"))
+    return bags.match_texts(lines.where("ord % 50 = 0"), lines.where("ord % 50 = 1"), ["l_linenumber"], [("p", "p"), ("s", "s")])
+
+
+@query(r"""
+select md5(t) as digest, n from (select trim(regexp_replace(text, '\s+', ' ', 'g')) as t, count(*) as n from documents where text is not null group by 1) where n > 1
+""")
+def normalized_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").where("text is not null").select(F.md5(T.squeezed(F.col("text"))).alias("digest"))
+    return docs.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("""
+select link, count(*) as n from (select unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as link from pages) group by 1
+""")
+def markup_links(spark: SparkSession, d: str) -> DataFrame:
+    links = read(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+    return links.groupBy("link").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, sha256(text) as digest from documents")
+def body_digest(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("select doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::bigint as n from documents")
+def substring_count(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", T.occurrences(F.col("text"), F.lit("the")).alias("n"))
+
+
+@query("select r_name as root, n_name as node, 1 as depth from region join nation on n_regionkey = r_regionkey union all select r_name, r_name, 0 from region")
+def reachability(spark: SparkSession, d: str) -> DataFrame:
+    region, nation = read(spark, d, "region"), read(spark, d, "nation")
+    start = region.select(F.col("r_name").alias("doc"), F.col("r_name").alias("node"))
+    edges = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("r_name").alias("doc"), F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
+    back = edges.select("doc", F.col("dst").alias("src"), F.col("src").alias("dst"))  # cycles end
+    return relations.reachable(start, edges.unionByName(back)).withColumnRenamed("doc", "root")
+
+
+@query("""
+with a as (select year(l_shipdate) as y, count(*) as n from lineitem where l_returnflag = 'R' group by 1), b as (select year(l_shipdate) as y, count(*) as n from lineitem where l_returnflag = 'A' group by 1)
+select y::int as y, coalesce(a.n, 0) as n_before, coalesce(b.n, 0) as n_after, coalesce(b.n, 0) - coalesce(a.n, 0) as delta from a full join b using (y)
+""")
+def delta_counts(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "lineitem").select(F.year("l_shipdate").alias("y"), "l_returnflag")
+    return relations.delta_counts(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), ["y"])
+
+
+@query("""
+with q as (select year(l_shipdate) as y, sum(l_quantity)::bigint as n from lineitem group by 1)
+select a.y::int as y, a.n as before, b.n as after, 100 * b.n < 95 * a.n as lost from q a join q b on b.y = a.y + 1
+""")
+def volume_ratio(spark: SparkSession, d: str) -> DataFrame:
+    q = read(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("y")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    later = q.select((F.col("y") - 1).alias("y"), F.col("n").alias("after"))
+    return q.withColumnRenamed("n", "before").join(later, "y").withColumn("lost", 100 * F.col("after") < 95 * F.col("before"))
+
+
+@query("select count(*) filter (event_type = 'click') as click, count(*) filter (event_type = 'signup') as signup, count(*) filter (event_type = 'never') as never from events")
+def severity_summary(spark: SparkSession, d: str) -> DataFrame:
+    return relations.severity_summary(read(spark, d, "events"), "event_type", ["click", "signup", "never"])
+
+
+@query("""
+select l_orderkey, l_linenumber, count(*) as n, case when o_orderkey is null then 'order' when c_custkey is null then 'customer' when n_nationkey is null then 'nation' end as failed
+from lineitem left join orders on o_orderkey = l_orderkey and o_orderstatus <> 'P' left join customer on c_custkey = o_custkey and c_acctbal > 0 left join nation on n_nationkey = c_nationkey and n_regionkey <> 2
+group by all
+""")
+def first_failing_hop(spark: SparkSession, d: str) -> DataFrame:
+    orders = read(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
+    customer = read(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey")
+    nation = read(spark, d, "nation").where("n_regionkey <> 2").select("n_nationkey")
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    out = relations.first_failing_hop(lines, [
+        (orders, F.col("o_orderkey") == F.col("l_orderkey"), "o_orderkey", "order"),
+        (customer, F.col("c_custkey") == F.col("o_custkey"), "c_custkey", "customer"),
+        (nation, F.col("n_nationkey") == F.col("c_nationkey"), "n_nationkey", "nation"),
+    ])
+    return out.groupBy("l_orderkey", "l_linenumber", "failed").agg(F.count("*").alias("n"))
+
+
+@query("select d.doc_id, coalesce(quality, case when n_chars < 100 then 0 end, 1)::int as quality from documents d left join labels l on l.doc_id = d.doc_id")
+def precedence_coalesce(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = read(spark, d, "documents").select("doc_id", "n_chars"), read(spark, d, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.when(F.col("n_chars") < 100, 0), F.lit(1)).alias("quality"))
+
+
+@query("""
+select o_orderkey, sum(round(l_extendedprice * 100))::bigint as cents, any_value(round(o_totalprice * 100))::bigint as declared
+from orders join lineitem on l_orderkey = o_orderkey group by 1 having sum(round(l_extendedprice * 100))::bigint <> any_value(round(o_totalprice * 100))::bigint
+""")
+def sum_vs_declared(spark: SparkSession, d: str) -> DataFrame:
+    sums = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+    orders = read(spark, d, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("declared"))
+    return orders.join(sums, "o_orderkey").where("cents <> declared")
+
+
+@query("select p_brand, p_partkey, rank::int as rank from (select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rank from part) where rank <= 3")
+def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice")
+    return relations.topk(part, ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 3).drop("p_retailprice")
+
+
+_RULES = [(0, "%9%", "nine"), (1, "%8%", "eight"), (2, "%k%", "other")]
+
+
+@query("""
+with r(ord, pat, rule) as (values (0, '%9%', 'nine'), (1, '%8%', 'eight'), (2, '%k%', 'other'))
+select event_id, arg_min(rule, ord) as rule from events left join r on props like pat group by 1
+""")
+def first_match_theta(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(_RULES, "ord int, pat string, rule string")
+    return relations.first_match(read(spark, d, "events").select("event_id", "props"), rules, F.expr("props like pat"), ["event_id"], "ord", "rule")
+
+
+@query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
+def contained_text(spark: SparkSession, d: str) -> DataFrame:
+    """Items are met by their first 24 characters in each place of the text, then whole."""
+    items = read(spark, d, "benchmark").where("text <> ''").withColumn("head", F.substring("text", 1, 24))
+    docs = read(spark, d, "documents").select("doc_id", "text").alias("docs")
+    # a stated query set against all rows: one broadcast of the benchmark's heads
+    return docs.join(F.broadcast(items.alias("b")), F.expr("contains(docs.text, b.head) and contains(docs.text, b.text)")).select("doc_id", "item_id")
+
+
+@query(r"""
+with v as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from benchmark), t as (select conv_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from conversations)
+select w, count(*) as n, count(distinct conv_id) as convs from t where w in (select w from v) group by 1
+""")
+def token_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda df, *c: df.select(*c, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    vocabulary = words(read(spark, d, "benchmark")).distinct()
+    return words(read(spark, d, "conversations"), "conv_id").join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("convs"))
+
+
+@query("select event_id, (props::json->>'k')::bigint as k from events")
+def nested_json(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("select conv_id, role, string_agg(text, ' ' order by turn, text) as said from conversations group by 1, 2")
+def conversation_views(spark: SparkSession, d: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_join(F.transform(turns, lambda x: x["text"]), " ").alias("said"))
