@@ -167,9 +167,9 @@ def removed(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     """docs with the spans cut out of their texts, columns as they were; n_chars, where
     present, follows the text. Nothing but hit words and what stands between two of one
     span goes."""
-    extra = [c for c in ("n_words", "spans", "items") if c in docs.columns]
-    if extra:
-        raise ValueError(f"columns of docs clash with those that find() adds: {extra}")
+    # columns of docs with the names that find() adds are put aside and given back
+    aside = {c: f"_own_{c}" for c in ("n_words", "spans", "items") if c in docs.columns}
+    docs, names_after = docs.withColumnsRenamed(aside), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,4 +195,5 @@ def removed(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
 
     found = find(docs, benchmark, settings)
     schema = docs.withColumn("text", F.col("text").cast("string")).schema
-    return found.mapInArrow(cut, schema)
+    out = found.mapInArrow(cut, schema)
+    return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*names_after)

@@ -69,7 +69,12 @@ def counts(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), placed)).drop("_h")
     again = F.filter("_s", lambda e, i: e["x"].eqNullSafe(F.get("_s", i - 1)["x"]) | e["x"].eqNullSafe(F.get("_s", i + 1)["x"]))
     out = out.withColumn("_places", F.array_sort(F.transform(again, lambda e: e["i"]))).drop("_s")
-    return out.withColumn("n_repeat_words", F.coalesce(_covered(F.col("_places")), F.lit(0)).cast("long")).drop("_places")
+    out = out.withColumn("n_repeat_words", F.coalesce(_covered(F.col("_places")), F.lit(0)).cast("long")).drop("_places")
+    # a filter on the counts must not be pushed below this point: it would take the steps
+    # apart and work out the words again for each of them
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = out.withColumn("_counts", F.explode_outer(F.array(F.struct(*names)))).drop(*names)
+    return out.select(*[c for c in out.columns if c != "_counts"], "_counts.*")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
