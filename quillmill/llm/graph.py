@@ -56,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, near: Callable[[Column, Column], Column] | None = None,
-            narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+            finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) for the nodes that verify() links to another one.
 
     buckets(key, id): nodes that share a key are candidates. verify(pairs(a, b), some)
@@ -66,8 +66,8 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, near: Callable[
     meets the hub, and each round draws other hubs. At last, in buckets that still hold
     several groups, the members outside of the largest group meet all members of other
     groups, so work in a bucket is its size times the number of its strays. near(a, b),
-    where given, is a condition on the ids alone that every link meets. narrow(open),
-    where given, makes smaller buckets(key, id, label) that still join all links.
+    where given, is a condition on the ids alone that every link meets. finish(open),
+    where given, is the last step: the links(a, b) between groups of one bucket.
     """
     # keys alone are counted first; ids travel only for keys that several share
     several = store.written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
@@ -82,8 +82,11 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, near: Callable[
             drawn = open_.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "key", F.lit(k))).alias("hub"))
             pairs = open_.join(drawn, "key").where("label <> hub.label").select("id", F.col("hub.id").alias("other"))
         else:
-            if narrow is not None:
-                open_ = store.written(narrow(open_), "narrow")
+            if finish is not None:
+                more = store.written(finish(open_), "links")
+                if not store.is_empty(more):
+                    found = components(tested.where("linked").select("a", "b").unionAll(more))
+                break
             largest = open_.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
                 F.max_by("label", F.struct("n", "label")).alias("main")
             )

@@ -159,18 +159,28 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         found = bloom.candidates(texts, ids, ["doc_id"]).join(ids, "doc_id").select("doc_id", "text")
         return found.mapInArrow(lambda it: _sets(it, s), "doc_id long, shingles array<long>")
 
-    def narrow(open_: DataFrame) -> DataFrame:
-        """Prefixes instead of bands: with its shingles in the order of how many open
-        documents have them, a set shares one of its first n - ceil(t * n) + 1 shingles
-        with every set of similarity t. A shingle that no other has leads nowhere."""
-        sets = store.written(sets_of(open_.select(F.col("id").alias("doc_id"))), "open-sets")
-        shingles = sets.select("doc_id", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
-        counted = shingles.groupBy("key").agg(F.count("*").alias("n"))
-        ranked = shingles.join(counted, "key").groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("order"))
-        first = F.col("size") - F.expr(f"int(({s.percent} * size + 99) div 100)") + 1
-        kept = ranked.select("doc_id", F.explode(F.slice("order", F.lit(1), first)).alias("o")).where("o.n > 1")
+    def finish(open_: DataFrame) -> DataFrame:
+        """Links between groups that still share buckets. Documents that buckets connect
+        are one clump; in it, those outside of its largest group meet all of other groups,
+        with the exact test inside the join, so only links leave it."""
+        hubs = open_.groupBy("key").agg(F.min("id").alias("a"))
+        clumps = graph.components(open_.join(hubs, "key").select("a", F.col("id").alias("b")).distinct())
         labels = open_.groupBy("id").agg(F.min("label").alias("label"))
-        return kept.select(F.col("o.key").alias("key"), F.col("doc_id").alias("id")).join(labels, "id").select("key", "id", "label")
+        sets = sets_of(labels.select(F.col("id").alias("doc_id")))
+        clumps = clumps.withColumnRenamed("node", "id").join(labels, "id")
+        largest = clumps.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(
+            F.max_by("label", F.struct("n", "label")).alias("main")
+        )
+        rows = clumps.join(largest, "component").join(sets.withColumnRenamed("doc_id", "id"), "id")
+        rows = store.written(rows.select("component", "id", "label", "main", "shingles", F.size("shingles").alias("size")), "clumps")
+        x = rows.where("label <> main").select("component", F.col("id").alias("x_id"), F.col("label").alias("x_label"), F.col("shingles").alias("x"), F.col("size").alias("x_size"))
+        y = rows.select("component", F.col("id").alias("y_id"), F.col("label").alias("y_label"), "main", F.col("shingles").alias("y"), F.col("size").alias("y_size"))
+        both = F.size(F.array_intersect("x", "y"))
+        meet = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("main")) | (F.col("x_id") < F.col("y_id")))
+        sizes = 100 * F.least("x_size", "y_size") >= s.percent * F.greatest("x_size", "y_size")
+        exact = 100 * both >= s.percent * (F.col("x_size") + F.col("y_size") - both)
+        on = (F.col("_x.component") == F.col("_y.component")) & meet & sizes & exact
+        return x.alias("_x").join(y.alias("_y"), on).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
     def verify(pairs: DataFrame, some: bool) -> DataFrame:
         a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
@@ -198,7 +208,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         exact = exact.groupBy("a", "b").agg(F.max("linked").alias("linked"))
         return exact.unionAll(rated.where("not alive").select("a", "b", F.lit(False)))
 
-    linked = graph.grouped(buckets, verify, rounds=3, narrow=narrow)
+    linked = graph.grouped(buckets, verify, rounds=3, finish=finish)
     named = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("component_id"))
     found = full.select("doc_id", "digest").join(named, "digest")
