@@ -310,6 +310,34 @@ def test_line_dedup(spark):
     assert lines.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_line_hashes_do_not_depend_on_their_place():
+    import pyarrow as pa
+
+    line = "the very same line of words in every text"
+    column = pa.array([line, None, "", "other words go first here\n" + line, prose(3) + "\n" + line.upper() + "!"])
+    found = [(t, p, s, h) for chunk in lines.line_hashes(column, 5) for t, p, s, h in zip(*(x.tolist() for x in chunk))]
+    same = [(t, p) for t, p, s, h in found if (s, h) == found[0][2:]]
+    assert same == [(0, 0), (3, 1), (4, 5)] and len(found) == 8
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_within(seed):
+    r = random.Random(seed)
+    x = "".join(r.choice("abé ") for _ in range(r.randint(0, 90)))
+    y = list(x)
+    for _ in range(r.randint(0, 12)):
+        at = r.randint(0, len(y))
+        y[at : at + r.randint(0, 1)] = r.choice(["", "a", "z"])
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        new = [i]
+        for j, b in enumerate(y, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    for limit in {0, row[-1] - 1, row[-1], row[-1] + 3}:
+        assert lines.within(x, "".join(y), limit) == (row[-1] <= limit)
+
+
 # classifier
 
 
