@@ -24,7 +24,8 @@ from . import arrays, bloom, graph, store
 @dataclass(frozen=True)
 class Settings:
     """percent: smallest Jaccard similarity of a link, in hundredths. A pair of exactly
-    that similarity shares no band with probability (1 - s**rows)**bands (8e-6 here).
+    that similarity shares no band with probability (1 - s**rows)**bands (4e-4 at 0.80,
+    8e-6 at 0.85).
     miss: posterior probability below which a batch comparison drops a pair."""
 
     percent: int = 80
