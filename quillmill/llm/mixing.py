@@ -2,26 +2,32 @@
 
 A source of weight w gets its j-th block released at floor(j / w) and due at
 ceil((j + 1) / w); the earliest deadline among released blocks takes each slot. After t
-slots every source has t * w blocks, give or take less than one. Weights are multiples of
-1 / slots, so the schedule of one period (`slots` rows) serves for all blocks.
+slots every source has t * w blocks, give or take less than one. Weights are whole numbers
+over their sum, so this holds for the whole stream. One task deals the slots: it holds the
+sources, not the blocks, and takes a step for each block.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
+
 
 @dataclass(frozen=True)
 class Settings:
-    """block_rows: rows of a block. slots: length of a period, at least the number of
-    sources; sources and slots are what the driver holds. power: without given weights a
-    source of n rows gets a weight in proportion to n ** power. bucket_rows: rows that are
-    ranked together."""
+    """block_rows: rows of a block. slots: length of a period of shares(); mix() has no
+    period. power: without given weights a source of n rows gets a weight in proportion to
+    n ** power. bucket_rows: rows that are ranked together."""
 
     block_rows: int = 32
     slots: int = 1000
@@ -44,22 +50,63 @@ def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
     return out
 
 
-def period(share: dict[str, int]) -> list[str]:
-    """The source of each slot of a period, by earliest deadline among released blocks."""
-    slots = sum(share.values())
-    waiting = [(0, k, 0) for k in share]  # release, source, block
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the exact proportions of the weights."""
+    exact = {k: Fraction(w) for k, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError(f"weights must be above 0: {sorted(k for k, w in exact.items() if w <= 0)[:10]}")
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {k: int(w * scale) for k, w in exact.items()}
+
+
+def schedule(weight: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """The source and the number of its block for each slot, without end, by earliest
+    deadline among released blocks."""
+    total = sum(weight.values())
+    waiting = [(0, k, 0) for k in weight]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(slots):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * slots // share[k]), k, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // weight[k]), k, j))
         due, k, j = heapq.heappop(ready)
         assert due > t, "a block missed its deadline"
-        out.append(k)
-        heapq.heappush(waiting, (max(t + 1, (j + 1) * slots // share[k]), k, j + 1))
-    return out
+        yield k, j
+        t += 1
+        heapq.heappush(waiting, (max(t, (j + 1) * total // weight[k]), k, j + 1))
+
+
+def period(share: dict[str, int]) -> list[str]:
+    """The source of each slot of a period."""
+    return [k for k, _ in islice(schedule(share), sum(share.values()))]
+
+
+def dealt(sizes: DataFrame, weights: dict[str, float] | None, s: Settings, batch_slots: int = 65_536) -> DataFrame:
+    """(_k, _block, epoch, slot) until every block of sizes(k, n) has been used once."""
+    names = ["_k", "_block", "epoch", "slot"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {r["k"]: r["n"] for batch in batches for r in batch.to_pylist()}
+        if not rows:
+            return
+        weight = whole({k: weights[k] if weights is not None else n**s.power for k, n in rows.items()})
+        blocks = {k: -(-n // s.block_rows) for k, n in rows.items()}
+        slots = schedule({k: weight[k] for k in sorted(weight)})
+        unused, at = len(blocks), 0
+        while unused:
+            out: list[tuple[str, int, int, int]] = []
+            while unused and len(out) < batch_slots:
+                k, j = next(slots)
+                epoch, block = divmod(j, blocks[k])
+                out.append((k, block, epoch, at))
+                at += 1
+                unused -= j + 1 == blocks[k]
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return sizes.coalesce(1).mapInArrow(run, "_k string, _block long, epoch long, slot long")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -68,40 +115,31 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, settings: Sett
     Rows of a source are put in the order of a hash of doc_id and cut into blocks. The
     stream ends when every row has been used once; a source that runs out before begins
     again (epoch 1, 2, ...), so no row is lost and the weights hold all along. A null
-    source is the source "". Sources without a given weight raise ValueError. Repeated
+    source is the source "". Sources without a given weight above 0 raise ValueError. Repeated
     rows are rows of their own. Columns of those names are replaced. An empty table
     gives an empty one.
     """
     s = settings
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    sizes = {r["k"]: r["n"] for r in docs.groupBy(source.alias("k")).agg(F.count("*").alias("n")).limit(s.slots + 1).collect()}
     empty = docs.withColumns({c: F.lit(0).cast("long") for c in ("epoch", "slot", "place")})
-    if not sizes:
+    sizes = store.written(docs.groupBy(source.alias("k")).agg(F.count("*").alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0]
+    if not total:
         return empty
-    if weights is not None and set(sizes) - set(weights):
-        raise ValueError(f"no weight for {sorted(set(sizes) - set(weights))}")
-    share = shares({k: weights[k] if weights is not None else n**s.power for k, n in sizes.items()}, s.slots)
-    plan: dict[str, list[int]] = {k: [] for k in share}
-    for t, k in enumerate(period(share)):
-        plan[k].append(t)
-    blocks = {k: -(-n // s.block_rows) for k, n in sizes.items()}
-    end = 1 + max((b - 1) // share[k] * s.slots + plan[k][(b - 1) % share[k]] for k, b in blocks.items())
-    used = {k: end // s.slots * share[k] + sum(t < end % s.slots for t in plan[k]) for k in share}
-
-    spark = docs.sparkSession
-    dealt = spark.createDataFrame(
-        [(k, share[k], blocks[k], used[k], plan[k]) for k in sorted(share)], "_k string, _share int, _blocks long, _used long, _plan array<int>"
-    )
+    if weights is not None:
+        given = docs.sparkSession.createDataFrame([(k,) for k, w in weights.items() if w > 0], "k string")
+        unknown = [r["k"] for r in sizes.join(given, "k", "left_anti").orderBy("k").limit(10).collect()]
+        if unknown:
+            raise ValueError(f"no weight above 0 for {unknown}")
+    plan = store.written(dealt(sizes, weights, s), "plan")
     # buckets are ranges of the hash, so the order doesn't depend on their number
-    bits = max(0, (sum(sizes.values()) // s.bucket_rows).bit_length())
+    bits = max(0, (total // s.bucket_rows).bit_length())
     rows = empty.withColumns({"_k": source, "_hash": F.xxhash64(F.col("doc_id").cast("string"))})
     rows = rows.withColumn("_bucket", F.shiftright("_hash", 64 - bits) if bits else F.lit(0).cast("long"))
     counts = rows.groupBy("_k", "_bucket").agg(F.count("*").alias("n"))
     before = counts.select("_k", "_bucket", (F.sum("n").over(Window.partitionBy("_k").orderBy("_bucket")) - F.col("n")).alias("_before"))
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_k", "_bucket").orderBy("_hash", "doc_id")) - 1)
-    ranked = ranked.join(before, ["_k", "_bucket"]).join(F.broadcast(dealt), "_k")  # dealt: at most `slots` entries
-    ranked = ranked.withColumn("_row", F.col("_before") + F.col("_rank")).withColumn("_block", F.expr(f"_row div {s.block_rows}"))
-    out = ranked.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_used - 1 - _block) div _blocks"))))
-    nth = out.withColumn("_nth", F.col("_epoch") * F.col("_blocks") + F.col("_block"))
-    slot = F.expr(f"(_nth div _share) * {s.slots} + _plan[int(_nth % _share)]")
-    return nth.withColumns({"epoch": F.col("_epoch"), "slot": slot.cast("long"), "place": F.col("_row") % s.block_rows}).select(*empty.columns)
+    ranked = ranked.join(before, ["_k", "_bucket"]).withColumn("_row", F.col("_before") + F.col("_rank"))
+    ranked = ranked.withColumn("_block", F.expr(f"_row div {s.block_rows}")).drop("epoch", "slot")
+    out = ranked.join(plan, ["_k", "_block"]).withColumn("place", F.col("_row") % s.block_rows)
+    return out.select(*empty.columns)

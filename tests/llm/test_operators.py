@@ -8,6 +8,8 @@ import struct
 import zipfile
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 
@@ -100,6 +102,35 @@ def test_mixing(spark):
         mixing.mix(frame(spark, rows), {"s0": 1})
 
 
+def test_schedule_keeps_the_exact_weights():
+    weights = {f"s{i}": (i + 1) ** 0.7 for i in range(20)} | {"rare": 1e-5, "hot": 40.0}
+    exact, done = mixing.whole(weights), Counter()
+    total = sum(exact.values())
+    assert all(Fraction(w) * total == exact[k] * sum(map(Fraction, weights.values())) for k, w in weights.items())
+    for t, (k, j) in enumerate(islice(mixing.schedule(exact), 30_000), 1):
+        assert j == done[k]
+        done[k] += 1
+        assert all(abs(done[x] * total - t * exact[x]) < total for x in exact)
+
+
+def test_mixing_keeps_the_target_over_many_periods(spark):
+    rows = [(k, None, "a" if k % 3 else "b") for k in range(3000)] + [(5000, None, "c")]
+    weights = {"a": 0.61237, "b": 0.38743, "c": 0.0002}
+    got = mixing.mix(frame(spark, rows, False), weights, mixing.Settings(block_rows=1, slots=10)).select("slot", "source", "epoch", "doc_id").collect()
+    assert {r["doc_id"] for r in got if r["epoch"] == 0} == {k for k, _, _ in rows}
+    exact, done = mixing.whole(weights), Counter()
+    total = sum(exact.values())
+    for t, r in enumerate(sorted(got), 1):
+        done[r["source"]] += 1
+        assert r["slot"] == t - 1 and all(abs(done[k] * total - t * w) < total for k, w in exact.items())
+
+
+def test_mixing_of_more_than_a_thousand_sources(spark):
+    rows = [(k, None, f"s{k % 1100}") for k in range(1500)]
+    got = mixing.mix(frame(spark, rows, False)).where("epoch = 0").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1500))
+
+
 # archives
 
 
