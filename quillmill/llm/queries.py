@@ -162,7 +162,7 @@ from dw left join hit using (doc_id) left join it using (doc_id)
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.deduplicated(store.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.deduplicated(store.table(spark, sf_dir, "documents").select("doc_id", "text"), lines.WHOLE)
     return out.select("doc_id", "n_lines", "n_gone", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -351,6 +351,31 @@ def test_line_hashes_do_not_depend_on_their_place():
     assert same == [(0, 0), (3, 1), (4, 5)] and len(found) == 9
 
 
+def test_line_dedup_of_short_wide_and_long_lines(spark):
+    r = random.Random(9)
+    long_line = [f"w{r.randint(0, 10**6)}" for _ in range(2500)]
+    changed = [f"v{k}" if k % 20 == 7 else w for k, w in enumerate(long_line)]
+    wide = "本文書は全ての権利を留保しており無断での複製と配布を固く禁じます詳細は規約を参照"
+    rows = [
+        (1, f"All rights reserved.\n----\n\nsame\n{wide}\nfirst", "s0"),
+        (2, f"ALL rights, reserved\n----\n\n*\n{wide}\n {wide}!", "s0"),
+        (4, "same\n\n \n==\nall rights", "s1"),
+        (4, "same\n\n \n==\nall rights", "s1"),
+    ]
+    x, y = " ".join(long_line), " ".join(changed)
+    assert len(x) > 10_000 and lines.similar(x, y, lines.WHOLE) and not lines.similar(x, y, lines.Settings())
+    got = {d: [x["text"] for x in v] for d, v in rows_of(lines.deduplicated(frame(spark, rows), lines.WHOLE)).items()}
+    assert got == {1: [rows[0][1]], 2: ["\n*"], 4: ["\n \n==\nall rights"] * 2}
+    # wide characters count as words: near lines get near hashes, others none
+    import pyarrow as pa
+
+    (text, _, sim, line), *_ = lines.line_hashes(pa.array([wide, wide, "漢字", "two words"]), 5, True)
+    assert text.tolist() == [0, 1, 2, 3] and sim[0] == sim[1] != lines.EXACT and line[0] == line[1] and sim[2] == sim[3] == lines.EXACT
+    near = wide + wide[:30]
+    _, _, sim, line = next(lines.line_hashes(pa.array([near + wide, near + wide[:-1]]), 5, True))
+    assert line[0] != line[1] and int(sim[0] ^ sim[1]).bit_count() < 12
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_within(seed):
     r = random.Random(seed)
