@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,20 +64,24 @@ def rectangles_overlap(shapes: DataFrame, group: list[str], order: str) -> DataF
     return pairs.where((w > 0) & (h > 0) & (area > 0)).withColumn("share", w.cast("double") * h / area)
 
 
-def reachable(start: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(doc, node, depth) that edges(doc, src, dst) reach from start(doc, node). One join a
-    level; a node is visited once, so cycles end; each level cuts the lineage."""
-    found = start.select("doc", "node").distinct().withColumn("depth", F.lit(0))
-    front = found
-    for depth in range(1, rounds + 1):
+def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc, node, depth) that edges(doc, src, dst) reach from start(doc, node), however far.
+    One join a level; a node is visited once, so cycles end; each level is a checkpoint, so
+    a lost executor repeats one level at most."""
+    context = start.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # tests and single machines
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="reachable-"))
+    front = start.select("doc", "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    found = front
+    for depth in count(1):
         ahead = front.select("doc", F.col("node").alias("src")).join(edges.select("doc", "src", "dst"), ["doc", "src"])
         ahead = ahead.select("doc", F.col("dst").alias("node")).distinct()
-        front = ahead.join(found, ["doc", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        front = front.persist()
+        front = ahead.join(found, ["doc", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
-            break
+            return found
         found = found.unionByName(front)
-    return found
+        if depth % 16 == 0:  # one table again, so plans stay short
+            found = found.checkpoint()
 
 
 def carry_forward(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:

@@ -174,6 +174,28 @@ def match_texts(spark: SparkSession, d: str) -> DataFrame:
     return bags.match_texts(lines.where("ord % 50 = 0"), lines.where("ord % 50 = 1"), ["l_linenumber"], [("p", "p"), ("s", "s")])
 
 
+@query("""
+with a as (select l_linenumber, l_partkey as p, l_suppkey as s, l_orderkey as ord from lineitem where l_linestatus = 'F' qualify row_number() over (partition by l_linenumber, l_orderkey order by l_partkey, l_suppkey) = 1),
+b as (select l_linenumber, l_partkey as p, l_suppkey as s, l_orderkey as ord from lineitem where l_linestatus = 'O' qualify row_number() over (partition by l_linenumber, l_orderkey order by l_partkey, l_suppkey) = 1),
+r1 as (select l_linenumber, x.ord as s_ord, y.ord as e_ord, 0 as round from
+  (select *, row_number() over (partition by l_linenumber, p order by ord) as k from a) x join
+  (select *, row_number() over (partition by l_linenumber, p order by ord) as k from b) y using (l_linenumber, p, k)),
+a2 as (select * from a where not exists (select 1 from r1 where r1.l_linenumber = a.l_linenumber and s_ord = a.ord)),
+b2 as (select * from b where not exists (select 1 from r1 where r1.l_linenumber = b.l_linenumber and e_ord = b.ord))
+select * from r1 union all
+select l_linenumber, x.ord, y.ord, 1 from
+  (select *, row_number() over (partition by l_linenumber, s order by ord) as k from a2) x join
+  (select *, row_number() over (partition by l_linenumber, s order by ord) as k from b2) y using (l_linenumber, s, k)
+""")
+def match_texts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """match_texts over all of lineitem: one line status is the source, the other the edit."""
+    lines = read(spark, d, "lineitem").groupBy("l_linestatus", "l_linenumber", F.col("l_orderkey").alias("ord"))
+    lines = lines.agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("m"))
+    lines = lines.select("l_linestatus", "l_linenumber", "ord", F.col("m.l_partkey").alias("p"), F.col("m.l_suppkey").alias("s"))
+    source, edited = (lines.where(F.col("l_linestatus") == x).drop("l_linestatus") for x in "FO")
+    return bags.match_texts(source, edited, ["l_linenumber"], [("p", "p"), ("s", "s")])
+
+
 @query(r"""
 select md5(t) as digest, n from (select trim(regexp_replace(text, '\s+', ' ', 'g')) as t, count(*) as n from documents where text is not null group by 1) where n > 1
 """)

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from quillmill import queries as Q
+from quillmill.operators import relations
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -37,6 +38,14 @@ def test_twin(spark, duck, name):
     assert got == want
 
 
+def test_reachable_has_no_last_level(spark):
+    far = 67
+    start = spark.createDataFrame([("d", 0)], "doc string, node int")
+    edges = spark.createDataFrame([("d", k, k + 1) for k in range(far)] + [("d", far, 0)], "doc string, src int, dst int").coalesce(1).cache()
+    got = relations.reachable(start, edges).collect()
+    assert sorted((r["node"], r["depth"]) for r in got) == [(k, k) for k in range(far + 1)]
+
+
 def test_every_query_has_a_twin():
     assert set(Q.QUERIES) == set(Q.ORACLE_SQL)
 
