@@ -8,6 +8,8 @@ digest.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,8 @@ PHRASES = {"sub license": "sublicense", "sub licensed": "sublicensed", "non comm
 
 # Licence texts and notices.
 NOTICES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License");', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public"],
     "GPL-3.0-only": ["This work is licensed under the GNU General Public License, version 3."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License."],
@@ -82,6 +85,26 @@ Permission is granted to anyone to use this software for any purpose, including
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
+THIRD_CLAUSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+#: Longer texts, a file for each SPDX id; a text may end at its last term.
+FOLDER, LAST_TERM = Path(__file__).parent / "texts", "END OF TERMS AND CONDITIONS"
+
+
+def shipped() -> dict[str, list[str]]:
+    """The texts and notices of each SPDX id, with its identifier line."""
+    out = {k: [v] for k, v in TEXTS.items()}
+    for path in sorted(FOLDER.glob("*.txt")):
+        text = path.read_text()
+        head, mark, _ = text.partition(LAST_TERM)
+        out[path.stem] = [text, head, head + mark] if mark else [text]
+    # the third clause stands before the disclaimer
+    terms, mark, disclaimer = TEXTS["BSD-2-Clause"].partition("THIS SOFTWARE IS")
+    out["BSD-3-Clause"] = [*out.get("BSD-3-Clause", []), f"{terms}{THIRD_CLAUSE}\n{mark}{disclaimer}"]
+    for k, v in NOTICES.items():
+        out[k] = out.get(k, []) + v
+    return {k: [*v, f"SPDX-License-Identifier: {k}"] for k, v in out.items()}
+
+
 COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n©]*(?:©|\(c\)|copyright\s+(?:©|\(c\)|[0-9]{4})|all rights reserved\.?\s*$)[^\n]*$"
 #: A line without one of these in it is no notice.
 NOTICE_WORDS = "(?i)licen[sc]e"
@@ -103,9 +126,7 @@ def known_licenses(spark: SparkSession, texts: dict[str, list[str]] | None = Non
     """(digest, license_id) of the given texts, by default the built-in ones. Two ids of
     one digest: the smaller one."""
     if texts is None:
-        texts = {k: [v] for k, v in TEXTS.items()}
-        for k, v in NOTICES.items():
-            texts[k] = texts.get(k, []) + v
+        texts = shipped()
     rows = [(k, t) for k, ts in texts.items() for t in ts]
     df = spark.createDataFrame(rows, "license_id string, text string")
     return df.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))

@@ -69,6 +69,16 @@ def test_license_scan(spark):
     assert licenses.scan(frame(spark, []), licenses.known_licenses(spark)).count() == 0
 
 
+def test_license_scan_of_texts_that_the_tables_do_not_hold(spark):
+    ids = ["Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "BSD-3-Clause", "CC0-1.0"]
+    rows = [(k, (licenses.FOLDER / f"{i}.txt").read_text().upper().replace(";", " ;"), "a") for k, i in enumerate(ids)]
+    rows += [(20, (licenses.FOLDER / "Apache-2.0.txt").read_text().split("END OF TERMS")[0], "a")]
+    rows += [(21, '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not', "a"), (22, "// SPDX-License-Identifier: MPL-2.0\nint x;", "a")]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows), licenses.known_licenses(spark)).collect()}
+    assert [got[k]["license_id"] for k in range(len(ids))] == ids and got[20]["license_id"] == "Apache-2.0"
+    assert got[21]["notices"] == ["Apache-2.0"] and got[22]["notices"] == ["MPL-2.0"]
+
+
 # mixing
 
 
