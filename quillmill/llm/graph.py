@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, store
@@ -19,62 +19,84 @@ Verify = Callable[[DataFrame, bool], DataFrame]
 
 
 def _pointers(links: DataFrame) -> DataFrame:
-    """(node, to): the smallest neighbour or the node itself, shortened twice."""
+    """(node, to): the smallest neighbour or the node itself, shortened twice; written."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(
         links.select(F.col("b").alias("node"), F.col("a").alias("near"))
     )
     to = both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("to"))
-    to = store.written(to, "pointers")
+    first = to = store.written(to, "pointers")
     for _ in range(2):
         ahead = to.where("node <> to").select(F.col("node").alias("to"), F.col("to").alias("beyond"))
         to = to.join(ahead, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
-    return to
+    out = store.written(to, "round")
+    store.drop(first)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node that occurs in links(a, b): component is the
-    smallest node that can be reached. No link: no row. Repeated links, loops and
+    """(node, component) of every node that occurs in links(a, b), written: component is
+    the smallest node that can be reached. No link: no row. Repeated links, loops and
     either direction are the same. A group takes about log4 of its longest path rounds;
     each round is a written table, so a lost executor repeats one round at most.
     """
-    found = None
+    found, rest = None, None
     while True:
-        to = store.written(_pointers(links), "round")
+        to = _pointers(links)
         left = to.select(F.col("node").alias("a"), F.col("to").alias("pa"))
         right = to.select(F.col("node").alias("b"), F.col("to").alias("pb"))
         links = store.written(
             links.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(),
             "contracted",
         )
+        store.drop(rest)
+        rest = links
+        onward = to.select(F.col("node").alias("component"), "to")
         if found is None:
-            found = to.select("node", F.col("to").alias("component"))
+            found = store.written(to.select("node", F.col("to").alias("component")), "components")
         else:
-            onward = to.select(F.col("node").alias("component"), "to")
-            found = found.join(onward, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            before = found
+            found = store.written(
+                found.join(onward, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components"
+            )
+            store.drop(before)
+        store.drop(to)
         if store.is_empty(links):
+            store.drop(rest)
             return found
 
 
-def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, near: Callable[[Column, Column], Column] | None = None,
+def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, prepare: Callable[[DataFrame], None] | None = None,
             finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) for the nodes that verify() links to another one.
+    """(node, component) for the nodes that verify() links to another one, written.
 
-    buckets(key, id): nodes that share a key are candidates. verify(pairs(a, b), some)
+    buckets(key, id): nodes that share a key are candidates. prepare(open), where given,
+    sees the nodes of shared buckets before any is tested. verify(pairs(a, b), some)
     returns (a, b, linked) for a < b; if `some`, it may leave pairs out. The result is
     that of all candidate pairs: a pair is never tested only when its two nodes are in one
     group already. In each round every member of a bucket that is not in the hub's group
     meets the hub, and each round draws other hubs. At last, in buckets that still hold
     several groups, the members outside of the largest group meet all members of other
-    groups, so work in a bucket is its size times the number of its strays. near(a, b),
-    where given, is a condition on the ids alone that every link meets. finish(open),
+    groups, so work in a bucket is its size times the number of its strays. finish(open),
     where given, is the last step: the links(a, b) between groups of one bucket.
     """
     # keys alone are counted first; ids travel only for keys that several share
     several = store.written(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     shared = bloom.candidates(buckets, several, ["key"]).join(several, "key", "left_semi")
     open_ = store.written(shared.withColumn("label", F.col("id")), "buckets")
-    tested = found = None
+    store.drop(several)
+    if prepare is not None:
+        prepare(open_)
+    tests: list[DataFrame] = []
+    found = None
     last = False  # no round found a link: only the exhaustive one is left
+
+    def links(more: DataFrame | None = None) -> DataFrame:
+        out = more
+        for t in tests:
+            t = t.where("linked").select("a", "b")
+            out = t if out is None else out.unionAll(t)
+        return out
+
     for k in [*range(rounds), rounds]:
         if k < rounds and last:
             continue
@@ -85,7 +107,9 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, near: Callable[
             if finish is not None:
                 more = store.written(finish(open_), "links")
                 if not store.is_empty(more):
-                    found = components(tested.where("linked").select("a", "b").unionAll(more))
+                    store.drop(found)
+                    found = components(links(more))
+                store.drop(more)
                 break
             largest = open_.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
                 F.max_by("label", F.struct("n", "label")).alias("main")
@@ -94,28 +118,26 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, near: Callable[
             strays = ranked.where("label <> main").select("key", "id", F.col("label").alias("own"))
             others = ranked.select("key", F.col("id").alias("other"), "label", "main")
             pairs = strays.join(others, "key").where("label <> own and (label = main or id < other)").select("id", "other")
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        if near is not None:
-            pairs = pairs.where(near(F.col("a"), F.col("b")))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        for t in tests:
+            pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
         now = store.written(verify(pairs, k < rounds), "tested")
-        tested = now if tested is None else tested.unionAll(now)
+        tests.append(now)
         if not store.is_empty(now.where("linked")):
-            found = store.written(components(tested.where("linked").select("a", "b")), "components")
+            store.drop(found)
+            found = components(links())
             labels = found.select(F.col("node").alias("id"), F.col("component").alias("to"))
             named = open_.join(labels, "id", "left").select("key", "id", F.coalesce("to", "label").alias("label"))
         else:
             named, last = open_, True
         if k == rounds:
             break
-        several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high")
-        if near is not None and k == 0:  # the only pair of a bucket of two has been tested
-            several = several.where("n > 2")
-        open_ = store.written(named.join(several.select("key"), "key", "left_semi"), "open")
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        before, open_ = open_, store.written(named.join(mixed.select("key"), "key", "left_semi"), "open")
+        store.drop(before)
         if store.is_empty(open_):
             break
+    store.drop(open_, *tests)
     if found is None:
         return buckets.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     return found

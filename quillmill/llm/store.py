@@ -7,13 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, a query's shuffle files go as soon as its table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. A folder of this machine stands in only
+    where that is unset and all tasks run on this machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -23,21 +29,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partitions: int | None = None, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read back: lineage ends there, and
     a lost executor costs only a new read."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the table that written() made; for rounds that nothing reads again."""
-    spark = df.sparkSession
-    for part in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(part)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.coalesce(partitions) if partitions else df).write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that written() made and that nothing reads again."""
+    for df in tables:
+        at = df.__dict__.pop("stored_at", None) if df is not None else None
+        if at:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_empty(df: DataFrame) -> bool:
