@@ -39,30 +39,38 @@ def components(links: DataFrame) -> DataFrame:
     either direction are the same. A group takes about log4 of its longest path rounds;
     each round is a written table, so a lost executor repeats one round at most.
     """
-    found, rest = None, None
+    levels: list[DataFrame] = []
+    rest = links
     while True:
-        to = _pointers(links)
+        to = _pointers(rest)
         left = to.select(F.col("node").alias("a"), F.col("to").alias("pa"))
         right = to.select(F.col("node").alias("b"), F.col("to").alias("pb"))
-        links = store.written(
-            links.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(),
+        ahead = store.written(
+            rest.join(left, "a").join(right, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(),
             "contracted",
         )
-        store.drop(rest)
-        rest = links
-        onward = to.select(F.col("node").alias("component"), "to")
-        if found is None:
-            found = store.written(to.select("node", F.col("to").alias("component")), "components")
-        else:
-            before = found
-            found = store.written(
-                found.join(onward, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components"
-            )
-            store.drop(before)
-        store.drop(to)
-        if store.is_empty(links):
+        if levels:  # the links given are the caller's
+            store.drop(rest)
+        levels.append(to.withColumnRenamed("to", "component"))
+        levels[-1].stored_at = to.stored_at
+        rest = ahead
+        if store.is_empty(rest):
             store.drop(rest)
-            return found
+            return composed(levels)
+
+
+def composed(levels: list[DataFrame]) -> DataFrame:
+    """(node, component), written, of tables each of which maps the components of those
+    before it, and nodes that none before had. The smaller ones are put together first."""
+    found = levels[-1]
+    for level in levels[-2::-1]:
+        onward = found.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        mapped = level.join(onward, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+        fresh = found.select("node", "component").join(level.select("node"), "node", "left_anti")
+        out = store.written(mapped.unionByName(fresh), "components")
+        store.drop(found, level)
+        found = out
+    return found
 
 
 def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, prepare: Callable[[DataFrame], None] | None = None,
@@ -87,14 +95,18 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, prepare: Callab
     if prepare is not None:
         prepare(open_)
     tests: list[DataFrame] = []
-    found = None
+    levels: list[DataFrame] = []  # ids to labels, then labels to labels
     last = False  # no round found a link: only the exhaustive one is left
 
-    def links(more: DataFrame | None = None) -> DataFrame:
-        out = more
-        for t in tests:
-            t = t.where("linked").select("a", "b")
-            out = t if out is None else out.unionAll(t)
+    def relabelled(links: DataFrame, open_: DataFrame) -> DataFrame | None:
+        """The next level, from links(a, b) of ids; None if there is none."""
+        if levels:
+            labels = open_.select("id", "label").distinct()
+            links = links.join(labels.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"id": "b", "label": "lb"}), "b")
+            links = links.where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        links = store.written(links.distinct(), "links")
+        out = None if store.is_empty(links) else components(links)
+        store.drop(links)
         return out
 
     for k in [*range(rounds), rounds]:
@@ -103,14 +115,12 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, prepare: Callab
         if k < rounds:
             drawn = open_.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", "key", F.lit(k))).alias("hub"))
             pairs = open_.join(drawn, "key").where("label <> hub.label").select("id", F.col("hub.id").alias("other"))
+        elif finish is not None:
+            more = relabelled(finish(open_), open_)
+            if more is not None:
+                levels.append(more)
+            break
         else:
-            if finish is not None:
-                more = store.written(finish(open_), "links")
-                if not store.is_empty(more):
-                    store.drop(found)
-                    found = components(links(more))
-                store.drop(more)
-                break
             largest = open_.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
                 F.max_by("label", F.struct("n", "label")).alias("main")
             )
@@ -123,13 +133,13 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, prepare: Callab
             pairs = pairs.join(t.select("a", "b"), ["a", "b"], "left_anti")
         now = store.written(verify(pairs, k < rounds), "tested")
         tests.append(now)
-        if not store.is_empty(now.where("linked")):
-            store.drop(found)
-            found = components(links())
-            labels = found.select(F.col("node").alias("id"), F.col("component").alias("to"))
-            named = open_.join(labels, "id", "left").select("key", "id", F.coalesce("to", "label").alias("label"))
-        else:
+        level = relabelled(now.where("linked").select("a", "b"), open_)
+        if level is None:
             named, last = open_, True
+        else:
+            levels.append(level)
+            onward = level.select(F.col("node").alias("label"), F.col("component").alias("_to"))
+            named = open_.join(onward, "label", "left").select("key", "id", F.coalesce("_to", "label").alias("label"))
         if k == rounds:
             break
         mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
@@ -138,6 +148,6 @@ def grouped(buckets: DataFrame, verify: Verify, rounds: int = 4, prepare: Callab
         if store.is_empty(open_):
             break
     store.drop(open_, *tests)
-    if found is None:
+    if not levels:
         return buckets.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    return found
+    return composed(levels)
