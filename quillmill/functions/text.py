@@ -54,7 +54,8 @@ def edge_space(c: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """An anchored regex of a path pattern: `*` and `?` within a segment, `**` across."""
+    """An anchored regex of a path pattern: `*`, `?` and `[..]` within a segment, `**` across;
+    a last `**` takes one segment at least."""
     import re
 
     parts = pattern.strip("/").split("/")
@@ -62,7 +63,13 @@ def glob_regex(pattern: str) -> str:
     for k, part in enumerate(parts):
         last = k == len(parts) - 1
         if part == "**":
-            out += ".*" if last else "(?:[^/]+/)*"
+            out += ".+" if last else "(?:[^/]+/)*"
             continue
-        out += "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in part) + ("" if last else "/")
+        for piece in re.findall(r"\[!?\]?[^\]]*\]|.", part):
+            if len(piece) > 1:
+                body = piece[1:-1].replace("\\", "\\\\").replace("[", "\\[")
+                out += "[" + ("^/" + body[1:] if body.startswith("!") else body) + "]"
+            else:
+                out += {"*": "[^/]*", "?": "[^/]"}.get(piece) or re.escape(piece)
+        out += "" if last else "/"
     return f"^{out}$"

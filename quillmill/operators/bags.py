@@ -22,6 +22,16 @@ def _paired(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
     return joined.select(*names, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left with the other columns of right where keys are equal, null being equal to null."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = left[k].eqNullSafe(other[f"_r_{k}"])
+        on = same if on is None else on & same
+    return left.join(other, on, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def bag_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """keys and n: how often more in a than in b."""
     return _paired(a, b, keys, "left").where("n_a > n_b").select(*keys, (F.col("n_a") - F.col("n_b")).alias("n"))
@@ -36,11 +46,42 @@ def bag_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return _paired(a, b, keys, "full_outer")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, bucket_rows: int = 2_000_000) -> DataFrame:
+    """df with the place (from 1) of each row among those of its keys, null keys being one.
+
+    A hot key is not one task's work: rows are put in ranges of the first order column, of
+    about bucket_rows rows, numbered within key and range, and the rows of earlier ranges are
+    added. The ranges follow from the values, so a task that runs again gives the same. A
+    first column that isn't a number has one range a key.
+    """
+    kind = df.select(order[0].alias("o")).schema["o"].dataType.typeName()
+    edges = []
+    if kind in ("byte", "short", "integer", "long", "float", "double"):
+        total = df.count()
+        n = total // bucket_rows
+        if n:
+            edges = sorted(set(df.agg(F.percentile_approx(order[0].cast("double"), [i / (n + 1) for i in range(1, n + 1)], 10_000)).first()[0] or []))
+    if not edges:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    value = order[0].cast("double")
+    # a row is in the range after as many edges as its value reaches; nulls come first
+    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= value)) + 1, F.lit(0))
+    rows = df.withColumn("_range", F.when(value.isNull(), 0).otherwise(bucket))
+    inner = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    sizes = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
+    sizes = sizes.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), before.alias("_before"))
+    on = F.col("_range") == F.col("_r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = inner.join(sizes, on).withColumn(name, (F.col(name) + F.col("_before")).cast("int"))
+    return out.select(*df.columns, name)
+
+
 def counted_allowance(df: DataFrame, allowances: DataFrame, key: str, order: list[Column], allowed: str = "allowed") -> DataFrame:
     """df without the first `allowed` rows of each key; keys without an allowance lose none."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return (
-        df.withColumn("_at", at).join(allowances, key, "left")
+        numbered(df, [key], order, "_at").join(allowances, key, "left")
         .where(F.col("_at") > F.coalesce(allowed, F.lit(0))).drop("_at", allowed)
     )
 
@@ -51,23 +92,26 @@ def two_level_inherit(items: DataFrame, known: DataFrame, exact: list[str], loos
     serves once; loose is a subset of exact."""
     exact_n = bag_counts(known, exact, "_exact_n")
     loose_n = bag_counts(known, loose, "_loose_n")
-    first = items.withColumn("_at", F.row_number().over(Window.partitionBy(*exact).orderBy(*order)))
-    first = first.join(exact_n, exact, "left").withColumn("_exact", F.coalesce(F.col("_at") <= F.col("_exact_n"), F.lit(False)))
+    first = null_safe(numbered(items, exact, order, "_at"), exact_n, exact)
+    first = first.withColumn("_exact", F.coalesce(F.col("_at") <= F.col("_exact_n"), F.lit(False)))
     used = first.where("_exact").groupBy(*loose).agg(F.count("*").alias("_used"))
-    rest = first.join(loose_n, loose, "left").join(used, loose, "left")
-    at = F.row_number().over(Window.partitionBy(*loose, "_exact").orderBy(*order))
+    rest = null_safe(null_safe(numbered(first, [*loose, "_exact"], order, "_place"), loose_n, loose), used, loose)
     left = F.coalesce("_loose_n", F.lit(0)) - F.coalesce("_used", F.lit(0))
-    level = F.when(F.col("_exact"), "exact").when(at <= left, "loose").otherwise("new")
+    level = F.when(F.col("_exact"), "exact").when(F.col("_place") <= left, "loose").otherwise("new")
     return rest.withColumn("level", level).select(*items.columns, "level")
 
 
 def pair_lost_added(lost: DataFrame, added: DataFrame, identity: list[str], order: str) -> DataFrame:
     """The k-th lost and the k-th added row of one identity are one change. Columns: the
     identity, `k`, lost_<order> and added_<order>; a side without partner is null."""
-    w = Window.partitionBy(*identity).orderBy(order)
-    a = lost.select(*identity, F.col(order).alias(f"lost_{order}"), F.row_number().over(w).alias("k"))
-    b = added.select(*identity, F.col(order).alias(f"added_{order}"), F.row_number().over(w).alias("k"))
-    return a.join(b, [*identity, "k"], "full_outer")
+    key = [*identity, "k"]
+    a = numbered(lost, identity, [F.col(order)], "k").select(*key, F.col(order).alias(f"lost_{order}"))
+    b = numbered(added, identity, [F.col(order)], "k").select(*(F.col(c).alias(f"_{c}") for c in key), F.col(order).alias(f"added_{order}"))
+    on = F.col("k") == F.col("_k")
+    for c in identity:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    named = [F.when(F.col("k").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in key]
+    return a.join(b, on, "full_outer").select(*named, f"lost_{order}", f"added_{order}")
 
 
 def match_texts(source: DataFrame, edited: DataFrame, keys: list[str], rounds: list[tuple[str, str]], order: str = "ord") -> DataFrame:

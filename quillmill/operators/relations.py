@@ -39,6 +39,18 @@ def first_match(items: DataFrame, rules: DataFrame, condition: Column, item_keys
     return hits.groupBy(*item_keys).agg(F.min_by(rule, ordinal).alias(rule))
 
 
+def contained(texts: DataFrame, items: DataFrame, text: str, block_bytes: int = 4 << 20) -> DataFrame:
+    """texts with the other columns of each item whose text they contain. Items are a stated
+    query set: they go to the texts in blocks of about block_bytes, a pass over the texts for
+    each block, so what is broadcast has a bound."""
+    own = items.withColumnRenamed(text, "_piece")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("_piece") + 64), F.lit(0)).alias("n")).first()["n"]
+    blocks = -(-size // block_bytes) or 1
+    block = F.pmod(F.xxhash64("_piece"), F.lit(blocks))
+    parts = (F.broadcast(own.where(block == k)) for k in range(blocks))
+    return reduce(DataFrame.unionByName, (texts.join(p, F.contains(F.col(text), F.col("_piece"))) for p in parts)).drop("_piece")
+
+
 def near_pairs(df: DataFrame, group: list[str], order: str, reach: Column, columns: list[str], width: Column, tie: str) -> DataFrame:
     """Pairs a before b of one group with b.order - a.order <= reach. Each row is put in the
     buckets of its own place and the next one, so the join has equal keys however long a
@@ -64,24 +76,34 @@ def rectangles_overlap(shapes: DataFrame, group: list[str], order: str) -> DataF
     return pairs.where((w > 0) & (h > 0) & (area > 0)).withColumn("share", w.cast("double") * h / area)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: later plans start there, and a lost executor
+    costs a read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-"))  # a local one in tests only
+    return df.checkpoint()
+
+
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc, node, depth) that edges(doc, src, dst) reach from start(doc, node), however far.
     One join a level; a node is visited once, so cycles end; each level is a checkpoint, so
     a lost executor repeats one level at most."""
-    context = start.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # tests and single machines
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="reachable-"))
-    front = start.select("doc", "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
+    front = cut(start.select("doc", "node").distinct().withColumn("depth", F.lit(0)))
     found = front
     for depth in count(1):
         ahead = front.select("doc", F.col("node").alias("src")).join(edges.select("doc", "src", "dst"), ["doc", "src"])
         ahead = ahead.select("doc", F.col("dst").alias("node")).distinct()
-        front = ahead.join(found, ["doc", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        front = ahead.join(found, ["doc", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        front = cut(front)
         if front.isEmpty():
             return found
         found = found.unionByName(front)
         if depth % 16 == 0:  # one table again, so plans stay short
-            found = found.checkpoint()
+            found = cut(found)
 
 
 def carry_forward(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:

@@ -1 +1 @@
-"""Structured Streaming over an inbox of packages."""
+"""Rules over files as they arrive."""
