@@ -26,6 +26,13 @@ ASCII_LOWER[65:91] += 32
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 
+#: A second modulus for substrings: powers of two alone let some strings of equal length
+#: share a hash whatever the base (those of Thue and Morse, from 1024 bytes on).
+PRIME = U64((1 << 31) - 1)
+PRIME_BASE = 1_734_205_963
+#: So many sums of a byte times a power stay below 2**63.
+STRETCH = 1 << 22
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -40,6 +47,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME_BASE**i and its inverse for i < n, modulo PRIME."""
+    if "prime" not in _powers or len(_powers["prime"]) < n:
+        p = int(PRIME)
+        for name, base in (("prime", PRIME_BASE), ("prime_down", pow(PRIME_BASE, -1, p))):
+            out = np.ones(1, U64)
+            while len(out) < max(n, CHUNK_BYTES + 1):
+                out = np.concatenate([out, out * U64(pow(base, len(out), p)) % PRIME])
+            _powers[name] = out
+    return _powers["prime"][:n], _powers["prime_down"][:n]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (splitmix finaliser)."""
     x = x ^ (x >> U64(30))
@@ -86,17 +105,43 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any substring follows."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], dtype=U64, out=out[1:])
-    return out
+class Sums:
+    """Prefix sums of a chunk under both moduli."""
+
+    def __init__(self, wide: np.ndarray, prime: np.ndarray):
+        self.wide, self.prime = wide, prime
 
+    def __len__(self) -> int:
+        return len(self.wide)
 
-def substring_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+
+def prefix(data: np.ndarray) -> Sums:
+    """Prefix sums from which the hash of any substring follows."""
+    n = len(data)
+    up, _ = powers(n + 1)
+    wide = np.zeros(n + 1, U64)
+    np.cumsum(BYTE_VALUE[data] * up[:n], dtype=U64, out=wide[1:])
+    up, _ = prime_powers(n + 1)
+    prime = np.zeros(n + 1, U64)
+    terms = (data.astype(U64) + U64(1)) * up[:n]
+    for at in range(0, n, STRETCH):
+        end = min(n, at + STRETCH)
+        np.cumsum(terms[at:end], dtype=U64, out=prime[at + 1 : end + 1])
+        # a sum is kept whole within a stretch; the next one goes on from its remainder
+        prime[at + 1 : end + 1] = (prime[at + 1 : end + 1] + prime[at]) % PRIME
+    return Sums(wide, prime)
+
+
+def weak_hash(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of substrings that something else tells apart later, modulo 2**64 only."""
     _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * LANES[63])
+    return mix((sums.wide[ends] - sums.wide[starts]) * down[starts] + (ends - starts).astype(U64) * LANES[63])
+
+
+def substring_hash(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _, down = prime_powers(len(sums))
+    rest = (sums.prime[ends] + PRIME - sums.prime[starts]) % PRIME * down[starts] % PRIME
+    return mix(weak_hash(sums, starts, ends) + rest * LANES[62])
 
 
 def ngrams(values: np.ndarray, n: int) -> np.ndarray:

@@ -182,4 +182,4 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(store.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256", (F.col("n_removed") > 0).alias("repeats"))

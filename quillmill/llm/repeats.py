@@ -62,7 +62,7 @@ def samples(raw: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarr
         return none, none, none, none, none.astype(U64), none.astype(U64)
     sums = arrays.prefix(raw)
     at = np.arange(n - s.gram + 1)
-    grams = arrays.substring_hash(sums, at, at + s.gram)
+    grams = arrays.weak_hash(sums, at, at + s.gram)  # contexts tell equal names apart
     keyed = (grams & ~PLACE) | (at.astype(U64) & PLACE)
     least = _least(keyed, s.length - s.gram + 1)[windows]
     sample = windows + (((least & PLACE).astype(np.int64) - windows) & int(PLACE))

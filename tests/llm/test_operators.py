@@ -212,6 +212,29 @@ def test_long_repeats(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("levels", [10, 11, 12])
+def test_strings_that_powers_of_two_take_for_equal(spark, levels):
+    """Strings of Thue and Morse share every polynomial hash modulo 2**64."""
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    head = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, f"{head} {a}", "s"), (2, f"{head} {b}", "s")]
+    n = len(a)
+    import numpy as np
+
+    from quillmill.llm import arrays
+
+    sums = arrays.prefix(np.frombuffer((a + b).encode(), np.uint8))
+    x, y = arrays.substring_hash(sums, np.array([0, n]), np.array([n, 2 * n])).tolist()
+    assert x != y
+    if levels == 10:
+        got = rows_of(repeats.remove_repeats(frame(spark, [(1, a, "s"), (2, b, "s")], False), repeats.Settings(length=1000, gram=100)))
+        assert [got[d][0]["n_removed"] for d in (1, 2)] == [0, 0]
+        sets = rows_of(minhash.near_duplicates(frame(spark, rows, False), minhash.Settings(percent=100)))
+        assert sets[1][0]["kept"] and sets[2][0]["kept"]
+
+
 # URL filters
 
 
