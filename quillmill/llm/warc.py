@@ -1,16 +1,19 @@
 """Web archives in ZIP packages, written and read by ranges.
 
-A package holds `archive/data.warc.gz` (one gzip member a record) and `indexes/index.cdx`,
+A package holds `archive/data.warc.gz` (one gzip member a record) and `indexes/index.cdxj`,
 both stored, so that a record is a range of the package. The reader parses the end record,
-the ZIP64 records and the central directory itself, finds stored archive members and their
-indexes, and reads only ranges; nothing is extracted. Files are reached through
-pyarrow.fs, so any store that pyarrow knows will do.
+the ZIP64 records and the central directory itself, finds all stored archive members and
+their CDX or CDXJ indexes, and reads only ranges; nothing is extracted. A member that no
+index covers is read as a stream, record by record. Files are reached through pyarrow.fs,
+so any store that pyarrow knows will do.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
+import json
 import struct
 import uuid
 import zipfile
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 
 from . import store
 
-ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the formats.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
+DATE, STAMP = "2024-01-01T00:00:00Z", "20240101000000"
 RECORD_ID = "urn:page:"
 
 
@@ -75,6 +78,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def sort_key(url: str) -> str:
+    """The key of an index line: the host's labels from the last to the first, then the path."""
+    host, slash, path = url.partition("://")[2].partition("/")
+    key = ",".join(reversed(host.lower().split("."))) + ")" + slash + path
+    return quote(key, safe="/?&=,;:@()~!*'+-._%#")
+
+
 class _Package:
     """A ZIP package that is being written: records first, then the index of them."""
 
@@ -87,14 +97,15 @@ class _Package:
         self.data = self.zip.open(zipfile.ZipInfo(ARCHIVE, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True)
         self.size, self.lines = 0, []
 
-    def add(self, page_id: int | None, raw: bytes) -> None:
+    def add(self, url: str | None, digest: str, raw: bytes) -> None:
         self.data.write(raw)
-        self.lines.append(f"{page_id} {self.size} {len(raw)}\n")
+        entry = {"url": url or "", "digest": f"sha256:{digest}", "offset": str(self.size), "length": str(len(raw)), "filename": ARCHIVE.split("/")[1]}
+        self.lines.append(f"{sort_key(url or '')} {STAMP} {json.dumps(entry)}\n")
         self.size += len(raw)
 
     def close(self) -> tuple[str, int]:
         self.data.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX, (1980, 1, 1, 0, 0, 0)), "".join(self.lines))
+        self.zip.writestr(zipfile.ZipInfo(INDEX, (1980, 1, 1, 0, 0, 0)), "".join(sorted(self.lines)))
         self.zip.close()
         self.out.close()
         return self.path, len(self.lines)
@@ -123,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str, settings: Settings = Settings(
         for batch in batches:
             for page_id, url, payload, digest, first, revisit in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 package = package or _Package(folder)
-                package.add(page_id, record(page_id, url, payload, digest, first, revisit))
+                package.add(url, digest, record(page_id, url, payload, digest, first, revisit))
                 if package.size >= settings.archive_bytes:
                     done.append(package.close())
                     package = None
@@ -187,50 +198,91 @@ def members(source: pa.NativeFile, size: int) -> list[dict]:
     return out
 
 
+def index_entries(text: io.TextIOBase) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) of the lines of a CDXJ index, or of a CDX one whose header
+    names its fields (V offset, S length, g file name)."""
+    fields: list[str] = []
+    for line in text:
+        line = line.rstrip("\n")
+        if line.lstrip().startswith("CDX "):
+            fields = line.split()[1:]
+        elif fields:
+            row = dict(zip(fields, line.split()))
+            if row.get("V", "-").isdigit() and row.get("S", "-").isdigit() and "g" in row:
+                yield row["g"], int(row["V"]), int(row["S"])
+        elif "{" in line:
+            row = json.loads(line[line.index("{") :])
+            if "offset" in row and "length" in row and "filename" in row:
+                yield row["filename"], int(row["offset"]), int(row["length"])
+
+
+class Range(io.RawIOBase):
+    """The bytes of a file from offset on, length of them."""
+
+    def __init__(self, source: pa.NativeFile, offset: int, length: int):
+        source.seek(offset)
+        self.source, self.left = source, length
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: bytearray) -> int:
+        piece = self.source.read(min(len(into), self.left))
+        into[: len(piece)] = piece
+        self.left -= len(piece)
+        return len(piece)
+
+
 def spans(path: str, span_bytes: int) -> Iterator[tuple[int, int]]:
-    """(offset, length) of runs of whole records in a package. A stored archive member
-    without an index is one run."""
+    """(offset, length) of runs of whole records in a package. A stored archive member that
+    its indexes don't cover from end to end is one run, which is read as a stream."""
     fs, at = open_fs(path)
     with fs.open_input_file(at) as source:
-        found = members(source, source.size())
-        stored = [m for m in found if m["method"] == 0]
-        index = next((m for m in stored if m["name"].startswith("indexes/") and m["name"].endswith(".cdx")), None)
+        stored = [m for m in members(source, source.size()) if m["method"] == 0]
+        listed: dict[str, list[tuple[int, int]]] = {}
+        for m in stored:
+            if m["name"].startswith("indexes/") and m["name"].endswith((".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")):
+                raw = io.BufferedReader(Range(source, m["offset"], m["size"]))
+                with io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if m["name"].endswith(".gz") else raw, "utf-8") as text:
+                    for name, start, n in index_entries(text):
+                        listed.setdefault(name.rsplit("/", 1)[-1], []).append((start, n))
         for m in stored:
             if not (m["name"].startswith("archive/") and m["name"].endswith((".warc", ".warc.gz"))):
                 continue
-            if index is None or m["name"] != ARCHIVE:
-                yield m["offset"], m["size"]
-                continue
-            source.seek(index["offset"])
-            begin, end = 0, 0
-            for line in io.BytesIO(source.read(index["size"])):
-                _, start, n = line.split()
-                if end > begin and int(start) + int(n) - begin > span_bytes:
-                    yield m["offset"] + begin, end - begin
-                    begin = int(start)
-                end = int(start) + int(n)
+            places = sorted(set(listed.get(m["name"].rsplit("/", 1)[-1], [])))
+            begin, end, runs = 0, 0, []
+            for start, n in places:
+                if start != end:  # a gap: the index leaves records out
+                    break
+                if end > begin and start + n - begin > span_bytes:
+                    runs.append((m["offset"] + begin, end - begin))
+                    begin = start
+                end = start + n
+            if end != m["size"]:
+                runs, begin, end = [], 0, m["size"]
             if end > begin:
-                yield m["offset"] + begin, end - begin
-
-
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each WARC record of a run, gzipped by record or plain."""
-    rest = raw
-    while rest:
-        if rest[:2] == b"\x1f\x8b":
-            packed = zlib.decompressobj(31)
-            one, rest = packed.decompress(rest) + packed.flush(), packed.unused_data
-        else:
-            one, rest = rest, b""
-        while one:
-            head, _, body = one.partition(b"\r\n\r\n")
-            lines = head.decode("utf-8").split("\r\n")
-            if not lines[0].startswith("WARC/"):
-                raise ValueError("not a WARC record")
-            headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
-            n = int(headers["content-length"])
-            yield headers, body[:n]
-            one = body[n + 4 :]
+                runs.append((m["offset"] + begin, end - begin))
+            yield from runs
+
+
+def records(raw: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each WARC record of a run, gzipped or plain, one held at a time."""
+    stream = io.BufferedReader(raw, 1 << 20)
+    if stream.peek(2)[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        headers = {}
+        while line := stream.readline().rstrip(b"\r\n"):
+            k, _, v = line.decode("utf-8").partition(":")
+            headers[k.lower()] = v.strip()
+        block = stream.read(int(headers["content-length"]))
+        if len(block) < int(headers["content-length"]):
+            raise ValueError("a WARC record ends early")
+        yield headers, block
 
 
 def _page(value: str | None) -> int | None:
@@ -238,6 +290,25 @@ def _page(value: str | None) -> int | None:
     return int(text) if text.lstrip("-").isdigit() else None
 
 
+def _row(headers: dict[str, str], block: bytes, path: str) -> tuple:
+    http, _, payload = block.partition(b"\r\n\r\n")
+    digest = headers["warc-payload-digest"].removeprefix("sha256:")
+    revisit = headers["warc-type"] == "revisit"
+    if revisit:
+        size = int(next(x.split(b": ")[1] for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")))
+    else:
+        size = len(payload)
+        if hashlib.sha256(payload).hexdigest() != digest:
+            raise ValueError(f"payload of {headers['warc-record-id']} in {path} has another digest")
+    return (_page(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], _page(headers.get("warc-refers-to")), size, digest, None if revisit else payload)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+    names = ["page_id", "target_uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
 def read_archives(manifest: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """A row for each record of the packages of manifest(path): page_id, target_uri,
     record_type, refers_to, payload_bytes, payload_digest (of the full payload), payload
@@ -254,23 +325,14 @@ def read_archives(manifest: DataFrame, settings: Settings = Settings()) -> DataF
             for path, offset, length in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 fs, at = open_fs(path)
                 with fs.open_input_file(at) as source:
-                    source.seek(offset)
-                    raw = source.read(length)
-                rows = []
-                for headers, block in records(raw):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    digest = headers["warc-payload-digest"].removeprefix("sha256:")
-                    revisit = headers["warc-type"] == "revisit"
-                    if revisit:
-                        size = int(next(x.split(b": ")[1] for x in http.split(b"\r\n") if x.startswith(b"Content-Length: ")))
-                    else:
-                        size = len(payload)
-                        if hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"payload of {headers['warc-record-id']} in {path} has another digest")
-                    rows.append((_page(headers["warc-record-id"]), headers.get("warc-target-uri"), headers["warc-type"], _page(headers.get("warc-refers-to")), size, digest, None if revisit else payload))
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                names = ["page_id", "target_uri", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+                    rows, held = [], 0
+                    for headers, block in records(Range(source, offset, length)):
+                        rows.append(_row(headers, block, path))
+                        held += len(block)
+                        if held > settings.span_bytes:
+                            yield _batch(rows)
+                            rows, held = [], 0
+                    yield _batch(rows)
 
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     todo = manifest.select("path").repartition(n, "path").mapInPandas(plan, "path string, offset long, length long")

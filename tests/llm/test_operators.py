@@ -161,6 +161,36 @@ def test_archives(spark, tmp_path):
         assert revisit or bytes(r["payload"]) == raw
 
 
+def plain_warc(n):
+    body = [f"HTTP/1.1 200 OK\r\n\r\npage {k}".encode() * 1 for k in range(n)]
+    digest = [hashlib.sha256(b.split(b"\r\n\r\n", 1)[1]).hexdigest() for b in body]
+    return [f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nWARC-Payload-Digest: sha256:{d}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for k, (b, d) in enumerate(zip(body, digest))]
+
+
+def test_archives_that_others_wrote(spark, tmp_path):
+    """Several members, plain and gzipped, with a CDX index, a CDXJ one, one with a gap, and none."""
+    import gzip
+    import json
+
+    rows = plain_warc(40)
+    one, two, three, four = rows[:10], rows[10:20], rows[20:30], [gzip.compress(x) for x in rows[30:]]
+    at = lambda xs: [(sum(map(len, xs[:k])), len(xs[k])) for k in range(len(xs))]
+    cdx = " CDX N b a m s k r M S V g\n" + "".join(f"key 2024 http://a text/html 200 X - - {n} {o} one.warc\n" for o, n in at(one))
+    cdxj = "".join(f"key 2024 {json.dumps({'offset': o, 'length': n, 'filename': f})}\n" for f, xs in (("two.warc", two), ("three.warc", three[1:])) for o, n in at(xs))
+    path = tmp_path / "others.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in {"one.warc": one, "two.warc": two, "three.warc": three, "four.warc.gz": four}.items():
+            z.writestr(f"archive/{name}", b"".join(data))
+        z.writestr("indexes/a.cdx", cdx)
+        z.writestr("indexes/b.cdxj.gz", gzip.compress(cdxj.encode()))
+    runs = list(warc.spans(str(path), 400))
+    assert len(runs) > 6 and sum(n for _, n in runs) == sum(len(x) for x in one + two + three + four)
+    got = warc.read_archives(spark.createDataFrame([(str(path),)], "path string"), warc.Settings(span_bytes=400)).collect()
+    assert sorted(r["page_id"] for r in got) == list(range(40)) and all(bytes(r["payload"]) == f"page {r['page_id']}".encode() for r in got)
+    none = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
+    assert none.count() == 0 and warc.read_archives(none).count() == 0
+
+
 def test_zip64_directory():
     data = b"WARC data " * 50
     out = io.BytesIO()
