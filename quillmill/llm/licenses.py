@@ -105,7 +105,7 @@ def shipped() -> dict[str, list[str]]:
     return {k: [*v, f"SPDX-License-Identifier: {k}"] for k, v in out.items()}
 
 
-COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n©]*(?:©|\(c\)|copyright\s+(?:©|\(c\)|[0-9]{4})|all rights reserved\.?\s*$)[^\n]*$"
+COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n©(]*(?:(?:©|\(c\))\s*[0-9]{4}|copyright\s+(?:©|\(c\)|[0-9]{4})|all rights reserved\.?\s*$)[^\n]*$"
 #: A line without one of these in it is no notice.
 NOTICE_WORDS = "(?i)licen[sc]e"
 
