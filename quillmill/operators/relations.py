@@ -112,6 +112,39 @@ def carry_forward(df: DataFrame, group: list[str], order: list[Column], value: C
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+def inherited(sections: DataFrame, refs: DataFrame, group: list[str], order: str, slot: list[str], value: str) -> DataFrame:
+    """group, order, slot and value of every section and slot that has a value by then: a
+    section that names none for a slot has that of the section before. sections(group, order)
+    and refs(group, order, slot, value); slots are those that occur in the group."""
+    every = sections.join(refs.select(*group, *slot).distinct(), group).join(refs, [*group, order, *slot], "left")
+    last = F.last(value, ignorenulls=True).over(Window.partitionBy(*group, *slot).orderBy(order))
+    return every.withColumn(value, last).where(F.col(value).isNotNull()).select(*group, order, *slot, value)
+
+
+def sibling_index(df: DataFrame, parent: list[str], name: str, order: str) -> DataFrame:
+    """df with `step`: the name, and its place among the parent's children of that name if
+    there are several."""
+    w = Window.partitionBy(*parent, name)
+    at, n = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
+    step = F.when(F.col("_n") > 1, F.concat(F.col(name), F.lit("["), F.col("_at"), F.lit("]"))).otherwise(F.col(name))
+    return df.withColumns({"_at": at, "_n": n}).withColumn("step", step).drop("_at", "_n")
+
+
+def running_total(df: DataFrame, group: list[str], order: str, value: str, name: str = "total") -> DataFrame:
+    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def first_of_equal(df: DataFrame, group: list[str], same: list[str], order: str) -> DataFrame:
+    """Of rows of a group that are equal in `same`, the first."""
+    at = F.row_number().over(Window.partitionBy(*group, *same).orderBy(order))
+    return df.withColumn("_at", at).where("_at = 1").drop("_at")
+
+
+def outcome_counts(df: DataFrame, keys: list[str], column: str, values: list[str]) -> DataFrame:
+    """A count for each value in a column of its own, also 0, and their total."""
+    return df.groupBy(*keys).agg(*(F.count_if(F.col(column) == v).alias(v) for v in values), F.count("*").alias("total"))
+
+
 def islands(df: DataFrame, group: list[str], order: list[Column], state: str) -> DataFrame:
     """Runs of equal neighbours: group, state, run, n, and the state of the next run."""
     w = Window.partitionBy(*group).orderBy(*order)

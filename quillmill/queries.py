@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions import values as V
 from .operators import bags, relations
+from .plans import policy
+from .plans.document_rules import ranked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -334,3 +337,163 @@ def nested_json(spark: SparkSession, d: str) -> DataFrame:
 def conversation_views(spark: SparkSession, d: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_join(F.transform(turns, lambda x: x["text"]), " ").alias("said"))
+
+
+@query("""
+with f as (select o_orderpriority, case o_orderstatus when 'F' then 3 when 'O' then 2 else 1 end as r from orders where o_totalprice > 200000)
+select o_orderpriority, count(*) filter (r = 3) as error, count(*) filter (r = 2) as warn, count(*) filter (r = 1) as info, max(r) as worst_rank,
+       case max(r) when 3 then 'error' when 2 then 'warn' else 'info' end as worst from f group by 1
+""")
+def worst_by_group(spark: SparkSession, d: str) -> DataFrame:
+    severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "warn").otherwise("info")
+    rows = ranked(read(spark, d, "orders").where("o_totalprice > 200000").select("o_orderpriority", severity.alias("severity")))
+    return policy.summarize(rows, "o_orderpriority")
+
+
+@query("""
+select c_nationkey, case when count(distinct c_mktsegment) = 1 then min(c_mktsegment) else '[' || string_agg(distinct c_mktsegment, ', ' order by c_mktsegment) || ']' end as segments
+from customer group by 1
+""")
+def fold_repeats(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_set("c_mktsegment")).alias("x"))
+    return rows.select("c_nationkey", V.folded(F.col("x")).alias("segments"))
+
+
+@query("""
+with r as (select s_nationkey, s_name, row_number() over (partition by s_nationkey order by s_name) as k, count(*) over (partition by s_nationkey) as n from supplier)
+select s_nationkey, string_agg(s_name, ', ' order by s_name) filter (k <= 3) || case when max(n) > 3 then ' and ' || (max(n) - 3) || ' more' else '' end as names from r group by 1
+""")
+def names_and_more(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_name")).alias("x"))
+    return rows.select("s_nationkey", V.names_and_more(F.col("x"), 3).alias("names"))
+
+
+@query("""
+with f as (select user_id, event_type, min((ts, event_id)) as seen from events group by 1, 2)
+select user_id, string_agg(event_type, '>' order by seen) as kinds from f group by 1
+""")
+def ordered_dedup(spark: SparkSession, d: str) -> DataFrame:
+    told = F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    rows = read(spark, d, "events").groupBy("user_id").agg(told.alias("x"))
+    return rows.select("user_id", F.array_join(F.array_distinct(F.transform("x", lambda e: e["event_type"])), ">").alias("kinds"))
+
+
+@query("""
+select o_orderkey, sum(round(o_totalprice * 100)::bigint) over (partition by o_custkey order by o_orderkey)::bigint as total from orders
+""")
+def running_size(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return relations.running_total(rows, ["o_custkey"], "o_orderkey", "cents").select("o_orderkey", "total")
+
+
+@query("""
+select o_orderkey, case when count(*) over (partition by o_custkey, o_orderstatus) > 1
+  then o_orderstatus || '[' || row_number() over (partition by o_custkey, o_orderstatus order by o_orderkey) || ']' else o_orderstatus end as step from orders
+""")
+def sibling_paths(spark: SparkSession, d: str) -> DataFrame:
+    return relations.sibling_index(read(spark, d, "orders"), ["o_custkey"], "o_orderstatus", "o_orderkey").select("o_orderkey", "step")
+
+
+@query("""
+with s as (select p_brand, p_type, p_partkey as ord, p_partkey % 97 as x, p_size as y, p_partkey % 53 as cx, p_size % 29 as cy from part),
+p as (select a.ord as first_ord, b.ord as second_ord, least(a.x + a.cx, b.x + b.cx) - greatest(a.x, b.x) as w, least(a.y + a.cy, b.y + b.cy) - greatest(a.y, b.y) as h,
+             least(a.cx * a.cy, b.cx * b.cy) as area from s a join s b using (p_brand, p_type) where a.ord < b.ord)
+select first_ord, second_ord, w::double * h / area as share from p where w > 0 and h > 0 and area > 0
+""")
+def rectangle_overlap(spark: SparkSession, d: str) -> DataFrame:
+    shapes = read(spark, d, "part").select(
+        "p_brand", "p_type", F.col("p_partkey").alias("ord"), (F.col("p_partkey") % 97).alias("x"), F.col("p_size").cast("long").alias("y"),
+        (F.col("p_partkey") % 53).alias("cx"), (F.col("p_size") % 29).cast("long").alias("cy"),
+    )
+    pairs = relations.rectangles_overlap(shapes, ["p_brand", "p_type"], "ord")
+    return pairs.select(F.col("a_ord").alias("first_ord"), F.col("b_ord").alias("second_ord"), "share")
+
+
+@query("""
+with t as (select c_custkey from customer where c_acctbal > 0)
+select o_orderkey from orders where o_custkey not in (from t) and o_custkey + 1 not in (from t)
+""")
+def any_candidate(spark: SparkSession, d: str) -> DataFrame:
+    rels = read(spark, d, "orders").select("o_orderkey", F.array("o_custkey", F.col("o_custkey") + 1).alias("candidates"))
+    targets = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("name"))
+    return relations.any_candidate(rels, ["o_orderkey"], "candidates", targets, "name").select("o_orderkey")
+
+
+@query("""
+with s as (select distinct user_id, event_id from events), r as (select user_id, event_id, event_type, event_id as value from events),
+e as (select s.user_id, s.event_id, t.event_type, r.value from s join (select distinct user_id, event_type from r) t using (user_id) left join r using (user_id, event_id, event_type)),
+w as (select user_id, event_id, event_type, last_value(value ignore nulls) over (partition by user_id, event_type order by event_id rows between unbounded preceding and current row) as value from e)
+select * from w where value is not null
+""")
+def inherited_slots(spark: SparkSession, d: str) -> DataFrame:
+    events = read(spark, d, "events").select("user_id", "event_id", "event_type")
+    refs = events.withColumn("value", F.col("event_id"))
+    return relations.inherited(events.select("user_id", "event_id").distinct(), refs, ["user_id"], "event_id", ["event_type"], "value")
+
+
+@query("""
+with t as (select conv_id, string_split(max(text) filter (turn = 0), ' ') as a, string_split(max(text) filter (turn = 1), ' ') as b from conversations group by 1)
+select conv_id, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) as ahead,
+       len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: list_reverse(a)[1:i] = list_reverse(b)[1:i])) as behind from t where a is not null and b is not null
+""")
+def common_ends(spark: SparkSession, d: str) -> DataFrame:
+    words = lambda k: F.split(F.max(F.when(F.col("turn") == k, F.col("text"))), " ")
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(words(0).alias("a"), words(1).alias("b")).where("a is not null and b is not null")
+    ends = [T.common_prefix(f(F.col("a")), f(F.col("b"))).cast("long").alias(n) for n, f in (("ahead", lambda c: c), ("behind", F.reverse))]
+    return rows.select("conv_id", *ends)
+
+
+@query("select doc_id, case when length(text) > 60 then substr(text, 1, 57) || '...' else text end as said from documents")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), 60).alias("said"))
+
+
+@query("""
+select p_partkey, case when p_size <= 25 then -1 else greatest(0.0, (p_retailprice / 50 - (p_size - 25)) / (p_size - 25)) end as ratio, (p_partkey * 1000)::double / 12700.0 as pt,
+       case when p_size - 25 >= 20 or p_partkey % 40 - 10 >= 20 or p_size - 25 + 5 <= 0 or p_partkey % 40 - 10 + 5 <= 0 then 'outside'
+            when p_size - 25 < 0 or p_partkey % 40 - 10 < 0 or p_size - 25 + 5 > 20 or p_partkey % 40 - 10 + 5 > 20 then 'over' end as off from part
+""")
+def measures(spark: SparkSession, d: str) -> DataFrame:
+    box = (F.col("p_size") - 25).cast("long")
+    ratio = V.overflow_ratio(F.col("p_retailprice") / 50, box)
+    x, y, five, twenty = box, F.col("p_partkey") % 40 - 10, F.lit(5), F.lit(20)
+    return read(spark, d, "part").select(
+        "p_partkey", F.when(ratio == float("inf"), F.lit(-1.0)).otherwise(ratio).alias("ratio"), V.points((F.col("p_partkey") * 1000).cast("double")).alias("pt"),
+        V.off_slide(x, y, five, five, twenty, twenty).alias("off"),
+    )
+
+
+@query("""
+select o_orderpriority, count(*) filter (o_orderstatus = 'F') as "F", count(*) filter (o_orderstatus = 'O') as "O", count(*) filter (o_orderstatus = 'P') as "P", count(*) as total from orders group by 1
+""")
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    return relations.outcome_counts(read(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"])
+
+
+@query("""
+with t as (select doc_id, string_split(text, chr(10)) as r from documents where text is not null),
+i as (select doc_id, len(r) as n, list_filter(range(1, len(r) + 1), lambda i: trim(r[i], ' ') <> '') as full_at from t)
+select doc_id, case when len(full_at) = 0 then n else full_at[1] - 1 end as above, case when len(full_at) = 0 then 0 else n - full_at[-1] end as below from i
+""")
+def blank_edges(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").where("text is not null").select("doc_id", V.blank_edges(F.split("text", "\n")).alias("e"))
+    return rows.select("doc_id", F.col("e.above").cast("long").alias("above"), F.col("e.below").cast("long").alias("below"))
+
+
+@query("select user_id, event_type, min(event_id) as event_id from events group by 1, 2")
+def first_of_equal(spark: SparkSession, d: str) -> DataFrame:
+    return relations.first_of_equal(read(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id"], ["event_type"], "event_id")
+
+
+@query("""
+with f as (select 'c' || o_custkey || '/' || o_orderstatus || '.docx' as doc, case when o_orderpriority like '1%' then 'AAA001' else 'BBB001' end as code, o_orderkey from orders)
+select o_orderkey, case when code = 'AAA001' and doc like '%/F.docx' then 'ignore AAA001 in */F.docx: known'
+                        when doc like 'c1/%' then 'ignore * in c1/: all of it' end as suppressed,
+       case when code = 'BBB001' then 'info' else 'error' end as severity from f
+""")
+def policy_rules(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.concat(F.lit("c"), F.col("o_custkey"), F.lit("/"), F.col("o_orderstatus"), F.lit(".docx"))
+    code = F.when(F.col("o_orderpriority").startswith("1"), "AAA001").otherwise("BBB001")
+    rows = ranked(read(spark, d, "orders").select("o_orderkey", doc.alias("doc"), code.alias("code"), F.lit("error").alias("severity")))
+    ignores = (policy.Ignore("AAA001", "known", "*/F.docx"), policy.Ignore("*", "all of it", "c1/"))
+    return policy.apply_policy(rows, policy.Policy({"BBB001": "info"}, ignores)).select("o_orderkey", "suppressed", "severity")
