@@ -497,3 +497,67 @@ def policy_rules(spark: SparkSession, d: str) -> DataFrame:
     rows = ranked(read(spark, d, "orders").select("o_orderkey", doc.alias("doc"), code.alias("code"), F.lit("error").alias("severity")))
     ignores = (policy.Ignore("AAA001", "known", "*/F.docx"), policy.Ignore("*", "all of it", "c1/"))
     return policy.apply_policy(rows, policy.Policy({"BBB001": "info"}, ignores)).select("o_orderkey", "suppressed", "severity")
+
+
+def order_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Orders in the form of findings: a customer is a file."""
+    code = F.when(F.col("o_orderstatus") == "F", "AAA001").when(F.col("o_orderstatus") == "O", "BBB001").otherwise("XML001")
+    severity = F.when(F.col("o_orderstatus") == "F", "error").otherwise("warn")
+    return ranked(read(spark, d, "orders").select(
+        F.concat(F.lit("c"), "o_custkey").alias("doc"), code.alias("code"), severity.alias("severity"), F.lit(None).cast("string").alias("where"),
+        F.lit("p.xml").alias("part"), F.col("o_orderpriority").alias("subject"), F.col("o_orderkey").cast("string").alias("message"),
+    ))
+
+
+FINDINGS_SQL = """
+with f as (select 'c' || o_custkey as doc, case o_orderstatus when 'F' then 'AAA001' when 'O' then 'BBB001' else 'XML001' end as code,
+  case o_orderstatus when 'F' then 'error' else 'warn' end as severity, 'p.xml' as part, o_orderpriority as subject, o_orderkey::varchar as message from orders)
+"""
+
+
+@query(FINDINGS_SQL + """, d as (select distinct doc from f)
+select doc, code, message, case when code = 'AAA001' then case when subject = '1-URGENT' then 'declared' else 'any' end end as expected from f
+union all select doc, 'EXP001', 'expected finding did not occur: AAA001 subject=1-URGENT (declared)', null from d where doc not in (select doc from f where code = 'AAA001' and subject = '1-URGENT')
+union all select doc, 'EXP001', 'expected finding did not occur: CCC001 (third)', null from d where doc like 'c1%'
+""")
+def expectations(spark: SparkSession, d: str) -> DataFrame:
+    found = order_findings(spark, d)
+    wanted = (policy.parse_expectation("aaa001:subject=1-URGENT"), policy.Expectation("AAA001", {}, "any", required=False), policy.Expectation("CCC001", {}, "third", "c1*"))
+    return policy.expect(found, wanted, found.select("doc").distinct()).select("doc", "code", "message", "expected")
+
+
+@query(FINDINGS_SQL + "select doc || '::' || code || '::p.xml::sha256=' || sha256(subject) as fingerprint, count(*) as allowed from f group by 1")
+def baseline_counts(spark: SparkSession, d: str) -> DataFrame:
+    return policy.make_baseline(order_findings(spark, d))
+
+
+@query(FINDINGS_SQL + """
+select doc, code, '{"ruleId":"' || code || '","level":"' || case severity when 'warn' then 'warning' else severity end || '","message":{"text":"' || message
+  || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || doc || '"}}}],"properties":{"severity":"' || severity || '","part":"p.xml"}}' as result from f
+""")
+def sarif_results(spark: SparkSession, d: str) -> DataFrame:
+    return policy.sarif_results(order_findings(spark, d))
+
+
+@query(FINDINGS_SQL + """, i as (select doc, severity, code, '{"code":"' || code || '","severity":"' || severity || '","message":"' || message || '","part":"p.xml","subject":"' || subject || '"}' as item, message, subject from f)
+select doc, '{"file":"' || doc || '","summary":{"error":' || count(*) filter (severity = 'error') || ',"warn":' || count(*) filter (severity = 'warn') || ',"info":0},"findings":['
+  || string_agg(item, ',' order by severity, code, message, subject) || ']}' as report from i group by doc
+""")
+def json_reports(spark: SparkSession, d: str) -> DataFrame:
+    return policy.json_report(order_findings(spark, d))
+
+
+@query(FINDINGS_SQL + "select doc, rpad(upper(severity), 5, ' ') || '  ' || code || '  ' || message || '  [p.xml]' as line from f")
+def human_lines(spark: SparkSession, d: str) -> DataFrame:
+    return policy.human_report(order_findings(spark, d))
+
+
+@query(FINDINGS_SQL + "select doc, not bool_or(code = 'XML001') as comparable from f group by 1")
+def comparable_files(spark: SparkSession, d: str) -> DataFrame:
+    found = order_findings(spark, d)
+    return policy.comparable(found, found.select("doc").distinct())
+
+
+@query(FINDINGS_SQL + "select coalesce(bool_or(severity = 'error'), false) as failed from f")
+def run_outcome(spark: SparkSession, d: str) -> DataFrame:
+    return policy.fails(order_findings(spark, d))
