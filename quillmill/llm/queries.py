@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, minhash, mixing, quality, repeats, rules, store, urlfilter, warc
+from . import decontam, kmeans, licenses, lines, minhash, mixing, packing, quality, repeats, resampling, rules, store, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -183,3 +184,101 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(store.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256", (F.col("n_removed") > 0).alias("repeats"))
+
+
+@query
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kmeans.cluster(store.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    rows = [(c, found.inertias[c], sum(found.inertias), digests[c]) for c in range(len(digests))]
+    named = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return found.assigned.join(F.broadcast(named), "cluster").select(  # a row a centroid
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain rounds: every vector against every centroid, all distances."""
+    parts = [f"""
+with recursive u as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from (select * from embeddings where len(embedding) = 64
+        and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)
+), rows as materialized (
+  select row_number() over () as r, vec_id, v from u
+), c0 as materialized (
+  select row_number() over (order by sha256('1:' || coalesce(cast(vec_id as varchar), '')), v) - 1 as c, v as m from rows
+  order by c limit {k}
+)"""]
+    distance = "list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for i in range(rounds + 1):
+        parts.append(f"""
+, a{i} as materialized (
+  select r, vec_id, v, d.c as c, d.d as d
+  from (select r, any_value(vec_id) as vec_id, any_value(v) as v, min({{'d': cast({distance} as bigint), 'c': c}}) as d from rows, c{i} group by r)
+)""")
+        if i < rounds:
+            parts.append(f"""
+, s{i} as (
+  select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(range(64)) as i from a{i}) group by c, i
+), c{i + 1} as materialized (
+  select c{i}.c, coalesce(q.m, c{i}.m) as m
+  from c{i} left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as m from s{i} group by c) q on q.c = c{i}.c
+)""")
+    parts.append(f"""
+select vec_id, cast(a.c as integer) as cluster, d as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia,
+       cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} k on a.c = k.c
+""")
+    return "".join(parts)
+
+
+ORACLE_SQL["op11_centroid_clustering"] = _clustering_sql()
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    settings = packing.Settings(public_tokenizers.path("byte_bpe_50k.json"))
+    found = packing.pack(store.table(spark, sf_dir, "documents").select("doc_id", "text"), settings)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, store.table(spark, sf_dir, "benchmark").select("text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The checksum takes a step for each bit: a word's byte is mixed in before its first one.
+ORACLE_SQL["op13_importance_resampling"] = r"""
+with w as (
+  select d, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from (select true as d, row_number() over () as r, doc_id, text from documents union all select false, row_number() over (), null, text from benchmark)
+), f as materialized (
+  select d, r, f, count(*) as n from (select d, r, unnest(ws) as f from w) group by d, r, f
+), b as materialized (
+  select f, (4294967295 - list_reduce(
+           list_prepend(4294967295, flatten(list_transform(range(len(x) // 2), lambda i: [cast('0x' || x[2 * i + 1:2 * i + 2] as bigint), 0, 0, 0, 0, 0, 0, 0]))),
+           lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384))) % 10000 as b
+  from (select f, hex(encode(f)) as x from (select distinct f from f))
+), s as (
+  select b, coalesce(sum(n) filter (d), 0) as s, coalesce(sum(n) filter (not d), 0) as t from f join b using (f) group by b
+), g as (
+  select b, cast(floor(1000 * ln((cast(t + 1 as double) * (sum(s) over () + 10000)) / (cast(s + 1 as double) * (sum(t) over () + 10000)))) as bigint) as g from s
+), m as (
+  select r, sum(n) as n, sum(n * g) as x from f join b using (f) join g using (b) where d group by r
+), q as (
+  select w.r, doc_id, cast(len(ws) as bigint) as n_features, cast(coalesce((x - ((x % n) + n) % n) // n, 0) as bigint) as weight,
+         cast('0x' || sha256('2024:' || coalesce(cast(doc_id as varchar), ''))[1:8] as bigint) as h
+  from w left join m on m.r = w.r where d
+), z as (
+  select r, doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::double))) as bigint) as score from q
+), k as (
+  select r, row_number() over (order by score desc, doc_id nulls first, n_features, weight) as rank from z where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when rank <= (select 10 * count(*) // 100 from k) then rank end as rank
+from z left join k using (r)
+"""
