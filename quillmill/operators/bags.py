@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def bag_counts(df: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(n))
@@ -46,36 +48,10 @@ def bag_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return _paired(a, b, keys, "full_outer")
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, bucket_rows: int = 2_000_000) -> DataFrame:
-    """df with the place (from 1) of each row among those of its keys, null keys being one.
-
-    A hot key is not one task's work: rows are put in ranges of the first order column, of
-    about bucket_rows rows, numbered within key and range, and the rows of earlier ranges are
-    added. The ranges follow from the values, so a task that runs again gives the same. A
-    first column that isn't a number has one range a key.
-    """
-    kind = df.select(order[0].alias("o")).schema["o"].dataType.typeName()
-    edges = []
-    if kind in ("byte", "short", "integer", "long", "float", "double"):
-        total = df.count()
-        n = total // bucket_rows
-        if n:
-            edges = sorted(set(df.agg(F.percentile_approx(order[0].cast("double"), [i / (n + 1) for i in range(1, n + 1)], 10_000)).first()[0] or []))
-    if not edges:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    value = order[0].cast("double")
-    # a row is in the range after as many edges as its value reaches; nulls come first
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= value)) + 1, F.lit(0))
-    rows = df.withColumn("_range", F.when(value.isNull(), 0).otherwise(bucket))
-    inner = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
-    sizes = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")
-    sizes = sizes.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_range").alias("_r"), before.alias("_before"))
-    on = F.col("_range") == F.col("_r")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = inner.join(sizes, on).withColumn(name, (F.col(name) + F.col("_before")).cast("int"))
-    return out.select(*df.columns, name)
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, bucket_rows: int | None = None) -> DataFrame:
+    """df with the place (from 1) of each row among those of its keys, null keys being one;
+    a hot key is as many tasks as ranges of the order, whatever its type."""
+    return scan.numbered(df, keys, order, name, bucket_rows)
 
 
 def counted_allowance(df: DataFrame, allowances: DataFrame, key: str, order: list[Column], allowed: str = "allowed") -> DataFrame:
@@ -124,8 +100,9 @@ def match_texts(source: DataFrame, edited: DataFrame, keys: list[str], rounds: l
         if found is not None:
             a = a.join(found.select(*keys, F.col(f"s_{order}").alias(order)), [*keys, order], "left_anti")
             b = b.join(found.select(*keys, F.col(f"e_{order}").alias(order)), [*keys, order], "left_anti")
-        a = a.select(*keys, F.col(x).alias("_v"), F.col(order).alias(f"s_{order}"), F.row_number().over(Window.partitionBy(*keys, x).orderBy(order)).alias("_k"))
-        b = b.select(*keys, F.col(y).alias("_v"), F.col(order).alias(f"e_{order}"), F.row_number().over(Window.partitionBy(*keys, y).orderBy(order)).alias("_k"))
+        a = a.select(*keys, F.col(x).alias("_v"), F.col(order).alias(f"s_{order}"))
+        b = b.select(*keys, F.col(y).alias("_v"), F.col(order).alias(f"e_{order}"))
+        a, b = (numbered(rows, [*keys, "_v"], [F.col(f"{side}_{order}")], "_k") for rows, side in ((a, "s"), (b, "e")))
         now = a.join(b, [*keys, "_v", "_k"]).select(*keys, f"s_{order}", f"e_{order}", F.lit(n).alias("round"))
         found = now if found is None else found.unionByName(now)
     return found

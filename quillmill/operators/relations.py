@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+from .tables import cut, drop
+
 
 def anti_ref(refs: DataFrame, defs: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of refs whose key has no definition. Null keys have none."""
@@ -76,40 +78,30 @@ def rectangles_overlap(shapes: DataFrame, group: list[str], order: str) -> DataF
     return pairs.where((w > 0) & (h > 0) & (area > 0)).withColumn("share", w.cast("double") * h / area)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder: later plans start there, and a lost executor
-    costs a read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if not named and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-"))  # a local one in tests only
-    return df.checkpoint()
-
-
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc, node, depth) that edges(doc, src, dst) reach from start(doc, node), however far.
-    One join a level; a node is visited once, so cycles end; each level is a checkpoint, so
+    One join a level; a node is visited once, so cycles end; each level is a written table, so
     a lost executor repeats one level at most."""
     front = cut(start.select("doc", "node").distinct().withColumn("depth", F.lit(0)))
-    found = front
+    found, parts = front, [front]
     for depth in count(1):
         ahead = front.select("doc", F.col("node").alias("src")).join(edges.select("doc", "src", "dst"), ["doc", "src"])
         ahead = ahead.select("doc", F.col("dst").alias("node")).distinct()
-        front = ahead.join(found, ["doc", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        front = cut(front)
+        front = cut(ahead.join(found, ["doc", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
+            drop(front)
             return found
         found = found.unionByName(front)
+        parts.append(front)
         if depth % 16 == 0:  # one table again, so plans stay short
             found = cut(found)
+            drop(*parts)
+            parts = [found]
 
 
 def carry_forward(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """The last non-null value up to each row."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return scan.carry_forward(df, group, order, value, name)
 
 
 def inherited(sections: DataFrame, refs: DataFrame, group: list[str], order: str, slot: list[str], value: str) -> DataFrame:
@@ -117,8 +109,8 @@ def inherited(sections: DataFrame, refs: DataFrame, group: list[str], order: str
     section that names none for a slot has that of the section before. sections(group, order)
     and refs(group, order, slot, value); slots are those that occur in the group."""
     every = sections.join(refs.select(*group, *slot).distinct(), group).join(refs, [*group, order, *slot], "left")
-    last = F.last(value, ignorenulls=True).over(Window.partitionBy(*group, *slot).orderBy(order))
-    return every.withColumn(value, last).where(F.col(value).isNotNull()).select(*group, order, *slot, value)
+    last = scan.carry_forward(every.withColumnRenamed(value, "_own"), [*group, *slot], [F.col(order)], F.col("_own"), value)
+    return last.where(F.col(value).isNotNull()).select(*group, order, *slot, value)
 
 
 def sibling_index(df: DataFrame, parent: list[str], name: str, order: str) -> DataFrame:
@@ -131,7 +123,7 @@ def sibling_index(df: DataFrame, parent: list[str], name: str, order: str) -> Da
 
 
 def running_total(df: DataFrame, group: list[str], order: str, value: str, name: str = "total") -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return scan.running_total(df, group, [F.col(order)], F.col(value), name)
 
 
 def first_of_equal(df: DataFrame, group: list[str], same: list[str], order: str) -> DataFrame:
@@ -147,11 +139,12 @@ def outcome_counts(df: DataFrame, keys: list[str], column: str, values: list[str
 
 def islands(df: DataFrame, group: list[str], order: list[Column], state: str) -> DataFrame:
     """Runs of equal neighbours: group, state, run, n, and the state of the next run."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    change = F.when(F.col(state).eqNullSafe(F.lag(state).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = df.withColumn("_change", change).withColumn("run", F.sum("_change").over(w))
+    runs = scan.islands(df, group, order, state)
     runs = runs.groupBy(*group, "run", state).agg(F.count("*").alias("n"))
-    return runs.withColumn(f"next_{state}", F.lead(state).over(Window.partitionBy(*group).orderBy("run")))
+    # a run and the one before it, by an equal key: as many runs as a key has don't share a task
+    after = runs.select(*(F.col(g).alias(f"_{g}") for g in group), (F.col("run") - 1).alias("_run"), F.col(state).alias(f"next_{state}"))
+    on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group] + [F.col("run") == F.col("_run")]
+    return runs.join(after, on, "left").drop("_run", *(f"_{g}" for g in group))
 
 
 def topk(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:

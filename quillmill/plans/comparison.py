@@ -19,6 +19,8 @@ from ..functions import text as T
 from ..operators import bags, matching, relations
 from ..sources import packages as P
 from . import document_rules as D
+from . import references, revisions
+from .reading import CHARACTERS, INSERTED, REMOVED, REVISIONS, joined, owner, pieces, shown, symbol, under  # noqa: F401
 
 # Constructs that are counted, their names and what losing some of them means.
 TRACKED = [
@@ -45,61 +47,9 @@ BODIES = [
 ]
 # Notes that every file has, without an author's words.
 HOUSEKEEPING = ["separator", "continuationSeparator", "continuationNotice"]
-# Revisions of text and the order in which new ones are reported.
-REVISIONS = {"w:ins": "insertion", "w:del": "deletion", "w:moveFrom": "move-from", "w:moveTo": "move-to"}
-INSERTED, REMOVED = ["w:ins", "w:moveTo"], ["w:del", "w:moveFrom"]
-STORY_ORDER = ["document", "header", "footer", "footnotes", "endnotes"]
 #: Part of the source's text that must be left.
 VOLUME = 0.95
 
-CHARACTERS = ["w:tab", "w:ptab", "w:br", "w:cr", "w:noBreakHyphen", "w:softHyphen", "w:sym"]
-
-
-def under(*tags: str) -> Column:
-    """Any ancestor has one of the tags."""
-    return F.arrays_overlap("anc_tags", F.array(*map(F.lit, tags)))
-
-
-def owner(tag: str) -> Column:
-    """The id of the nearest ancestor with the tag."""
-    return F.get("anc_ids", F.array_position("anc_tags", tag).cast("int") - 1)
-
-
-def symbol(code: Column) -> Column:
-    """The character of a hexadecimal code point; empty for what is none."""
-    digits = F.regexp_replace(F.coalesce(code, F.lit("")), "^0+(?=.)", "")
-    value = F.conv(F.when(digits.rlike("^[0-9A-Fa-f]{1,6}$"), digits), 16, 10).cast("int")
-    good = value.between(1, 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
-    return F.when(good, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise("")
-
-
-def shown() -> Column:
-    """What an element of a run reads as; null for all others. A tab of a tab list is none."""
-    tag, parent = F.col("tag"), F.get("anc_tags", F.lit(0))
-    return (
-        F.when(tag.isin("w:t", "w:delText"), F.coalesce("text", F.lit("")))
-        .when((tag == "w:ptab") | ((tag == "w:tab") & ~parent.eqNullSafe("w:tabs")), "\t").when(tag.isin("w:br", "w:cr"), "\n")
-        .when(tag == "w:noBreakHyphen", "-").when(tag == "w:softHyphen", "").when(tag == "w:sym", symbol(F.col("attrs")["w:char"]))
-    )
-
-
-def pieces(nodes: DataFrame) -> DataFrame:
-    """The nodes that read as text, with `shown`, their paragraph `p` and the two views."""
-    rows = nodes.where(F.col("tag").isin("w:t", "w:delText", *CHARACTERS)).withColumn("shown", shown()).where("shown is not null")
-    return rows.withColumns({
-        "p": owner("w:p"),
-        "is_current": ~((F.col("tag") == "w:delText") | (F.col("tag").isin(*CHARACTERS) & under("w:del"))),
-        "is_original": ~under(*INSERTED),
-    })
-
-
-def joined(rows: DataFrame, keys: list[str], keep: str, name: str) -> DataFrame:
-    """keys and the text of rows in reading order; a paragraph's end reads as a blank."""
-    told = rows.where(keep).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("id", "p", "shown"))).alias("t"))
-    apart = F.transform("t", lambda x, i: F.concat(F.when((i > 0) & x["p"].eqNullSafe(F.get("t", i - 1)["p"]), "").otherwise("\n"), x["shown"]))
-    return told.select(*keys, T.squeezed(F.array_join(apart, "")).alias(name))
-
-
 def paragraph_views(nodes: DataFrame) -> DataFrame:
     """(doc, part, p, current, original) of every paragraph; text boxes in it are paragraphs
     of their own. Here a move's text is current at its end only."""
@@ -229,8 +179,9 @@ def _sides(df: DataFrame, n: str) -> tuple[DataFrame, DataFrame]:
     return tuple(df.where(F.col("doc").startswith(side)).withColumn("doc", pair).withColumnsRenamed({n: as_}) for side, as_ in (("s:", n), ("e:", f"{n}_after")))
 
 
-def construct_changes(per_tag: DataFrame, keys: list[str], codes: tuple[str, str | None], where: Column | None, part: str | None, prefix: Column) -> DataFrame:
-    """A loss (an error if all are lost), and with a second code a gain, for each tag."""
+def construct_changes(per_tag: DataFrame, keys: list[str], codes: tuple[str, str | None], where: Column | None, part: str | None, prefix: Column, excused: DataFrame | None = None) -> DataFrame:
+    """A loss (an error if all are lost), and with a second code a gain, for each tag; no loss
+    for excused(doc, tag)."""
     before, after = _sides(per_tag, "n")
     both = bags_full(before, after, ["doc", *keys, "tag"])
     table = per_tag.sparkSession.createDataFrame(TRACKED, "tag string, label string, loss string")
@@ -238,7 +189,8 @@ def construct_changes(per_tag: DataFrame, keys: list[str], codes: tuple[str, str
     lost = F.col("n_after") < F.col("n")
     tail = F.when(F.col("n_after") == 0, "all lost").otherwise(F.concat(F.col("n") - F.col("n_after"), F.lit(" lost")))
     text = F.concat(prefix, "label", F.lit(": "), "n", F.lit(" -> "), "n_after")
-    out = D.found(both.where(lost), codes[0], F.when(F.col("n_after") == 0, "error").otherwise(F.col("loss")), F.concat(text, F.lit(" ("), tail, F.lit(")")), F.col("tag"), part, where)
+    losses = both.where(lost) if excused is None else both.where(lost).join(excused, ["doc", "tag"], "left_anti")
+    out = D.found(losses, codes[0], F.when(F.col("n_after") == 0, "error").otherwise(F.col("loss")), F.concat(text, F.lit(" ("), tail, F.lit(")")), F.col("tag"), part, where)
     if codes[1]:
         out = out.unionByName(D.found(both.where(~lost), codes[1], "info", F.concat(text, F.lit(" - added")), F.col("tag"), part, where))
     return out
@@ -379,11 +331,17 @@ def compare(pairs: DataFrame, limits: P.Limits = P.Limits()) -> DataFrame:
     shown_ = relations.cut(slots(f))
     stories = relations.cut(story_parts(f, shown_))
     nothing = F.lit("")
+    body = f.body
+    same = relations.cut(revisions.same_text(body))
+    excused = lambda alt: same.where(F.col("alt") == F.lit(alt)).select("doc", "tag")
+    texts, other_texts = revisions.payload_losses(body)
     groups = [
         [
-            construct_changes(counts(f, False), [], ("FID001", "FID002"), None, None, nothing), text_loss(volumes(f, False)),
-            demoted(construct_changes(counts(f, True), [], ("FID001", None), None, None, nothing)), demoted(text_loss(volumes(f, True))),
+            construct_changes(counts(f, False), [], ("FID001", "FID002"), None, None, nothing, excused(False)), text_loss(volumes(f, False)),
+            demoted(construct_changes(counts(f, True), [], ("FID001", None), None, None, nothing, excused(True))), demoted(text_loss(volumes(f, True))),
         ],
+        [texts, demoted(other_texts), revisions.growth(body), revisions.note_revision_losses(revisions.note_kinds(f.nodes))],
+        [revisions.wide_replacements(f.nodes, stories)], references.reference_losses(f.nodes, stories),
         [revision_additions(f, stories)], [paragraph_changes(f, stories.where("story not in ('footnotes', 'endnotes')"))],
         [body_losses(relations.cut(bodies(f)))], story_losses(f, shown_),
     ]

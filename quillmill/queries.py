@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import values as V
-from .operators import bags, relations
+from .operators import bags, budget, relations, scan
 from .plans import policy
 from .plans.document_rules import ranked
 
@@ -561,3 +561,63 @@ def comparable_files(spark: SparkSession, d: str) -> DataFrame:
 @query(FINDINGS_SQL + "select coalesce(bool_or(severity = 'error'), false) as failed from f")
 def run_outcome(spark: SparkSession, d: str) -> DataFrame:
     return policy.fails(order_findings(spark, d))
+
+
+@query("""
+with m as (
+  select user_id, event_id, ts, case event_type when 'view' then 1 when 'purchase' then -1 else 0 end as v from events
+), s as (
+  select *, row_number() over w as n, sum(v) over w as s from m window w as (partition by user_id order by ts, event_id)
+), d as (
+  select *, s - v - least(0, coalesce(min(s) over (partition by user_id order by n rows between unbounded preceding and 1 preceding), 0)) as before from s
+), l as (select *, before + case when v = 1 then 1 else 0 end as level from d)
+select event_id, n, level::bigint as level, case when level > 0 then (select max(b.n) from l b where b.user_id = l.user_id and b.level = l.level and b.v = 1 and b.n <= l.n) end as owner from l
+""")
+def nested_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Views open a bracket of their user, purchases close the last open one."""
+    events = read(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    mark = F.when(F.col("event_type") == "view", "begin").when(F.col("event_type") == "purchase", "end")
+    out = scan.brackets(events, ["user_id"], [F.col("ts"), F.col("event_id")], mark)
+    return out.select("event_id", "n", "level", "owner")
+
+
+@query("""
+with recursive l as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents where text is not null
+), r as (
+  select doc_id, pos, length(line) <= 500 as taken, 500 - case when length(line) <= 500 then length(line) else 0 end as rest from l where pos = 0
+  union all
+  select l.doc_id, l.pos, length(line) <= rest, rest - case when length(line) <= rest then length(line) else 0 end from r join l on l.doc_id = r.doc_id and l.pos = r.pos + 1
+)
+select doc_id, count(*) as n_lines, count(*) filter (taken) as n_taken, 500 - min(rest) as used, min(pos) filter (not taken) as first_passed from r group by doc_id
+""")
+def line_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a document that fit in a budget of characters, given out in their order."""
+    docs = read(spark, d, "documents").where("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", F.length("line").alias("cost"))
+    out = budget.within_budget(lines, ["doc_id"], ["pos"], "cost", 500)
+    return out.groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.count_if("taken").alias("n_taken"), F.sum(F.when(F.col("taken"), F.col("cost")).otherwise(0)).alias("used"),
+        F.min(F.when(~F.col("taken"), F.col("pos").cast("long"))).alias("first_passed"),
+    )
+
+
+@query(r"""
+with recursive t as (
+  select conv_id, turn, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+         lead(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) over (partition by conv_id order by turn) as g from conversations
+), u as (select conv_id, turn, w[1:3] as w, g from t where g is not null),
+r as (
+  select conv_id, turn, w, g, 0 as k, 0 as met from u
+  union all
+  select conv_id, turn, w, g, k + 1, met + case when met < len(w) and g[k + 1] = w[met + 1] then 1 else 0 end from r where k < len(g)
+)
+select conv_id, turn, met = len(w) as whole, (len(g) - met)::bigint as n_extra from r where k = len(g)
+""")
+def kept_openings(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the first three words of a turn come in the next turn in their order, and how
+    many of its words are others."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "").alias("w"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("g"))
+    both = turns.join(after, ["conv_id", "turn"]).withColumn("s", budget.surplus(F.slice("w", 1, 3), F.col("g")))
+    return both.select("conv_id", "turn", "s.whole", F.size("s.extra").cast("long").alias("n_extra"))
