@@ -87,6 +87,12 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
         at = end
 
 
+def stretches(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(index of the first text, number of texts) of the chunks of a column."""
+    for at, _, offsets in chunks(column, size):
+        yield at, len(offsets) - 1
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words of a chunk, and the number of the first word
     of each text (and of the end)."""
