@@ -121,7 +121,8 @@ def encoded(docs: DataFrame, s: Settings) -> DataFrame:
 
 def placed(tokens: DataFrame) -> DataFrame:
     """encoded() rows with at: the place of their first id in the whole stream."""
-    bases = prefix.before(tokens.groupBy("part").agg(F.sum("length").alias("n"))).select("part", "base")
+    # written, so that its size is known: a row a part is sent to the tasks while it is small
+    bases = store.written(prefix.before(tokens.groupBy("part").agg(F.sum("length").alias("n"))).select("part", "base"), "bases", 1)
     return tokens.join(bases, "part").withColumn("at", F.col("base") + F.col("ahead")).drop("part", "base", "ahead")
 
 
