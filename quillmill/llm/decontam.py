@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrays, store
 from .fmindex import FMIndex
@@ -167,33 +168,30 @@ def removed(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings
     """docs with the spans cut out of their texts, columns as they were; n_chars, where
     present, follows the text. Nothing but hit words and what stands between two of one
     span goes."""
-    # columns of docs with the names that find() adds are put aside and given back
-    aside = {c: f"_own_{c}" for c in ("n_words", "spans", "items") if c in docs.columns}
-    docs, names_after = docs.withColumnsRenamed(aside), docs.columns
+    # the user's columns travel as one, so that none has the name of one that find() adds
+    sized = "n_chars" in docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            texts, spans = batch.column(names.index("text")), batch.column(names.index("spans"))
+            texts, spans = batch.column(1), batch.column(2)
             hit = np.flatnonzero(pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False) > 0).tolist()
-            columns = {c: batch.column(k) for k, c in enumerate(names) if c not in ("n_words", "spans", "items")}
+            size = np.full(batch.num_rows, -1, np.int64)
             if hit:
                 new = texts.to_pylist()
-                sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else None
                 for k in hit:
                     raw, parts, at = new[k].encode(), [], 0
                     for span in spans[k].as_py():
                         parts.append(raw[at : span["from_byte"]])
                         at = span["to_byte"]
                     new[k] = b"".join([*parts, raw[at:]]).decode()
-                    if sizes:
-                        sizes[k] = len(new[k])
-                columns["text"] = pa.array(new, texts.type)
-                if sizes:
-                    columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    found = find(docs, benchmark, settings)
-    schema = docs.withColumn("text", F.col("text").cast("string")).schema
-    out = found.mapInArrow(cut, schema)
-    return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*names_after)
+                    size[k] = len(new[k])
+                texts = pa.array(new, texts.type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.array(size)], names=["own", "text", "size"])
+
+    packed = docs.select(F.struct(*docs.columns).alias("own"), F.col("text").cast("string").alias("text"))
+    found = find(packed, benchmark, settings).select("own", "text", "spans")
+    out = found.mapInArrow(cut, T.StructType([*packed.schema.fields, T.StructField("size", T.LongType())]))
+    named = {c: F.col("own").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if sized:
+        named["n_chars"] = F.when(F.col("size") >= 0, F.col("size")).otherwise(F.col("own.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(c.alias(n) for n, c in named.items()))

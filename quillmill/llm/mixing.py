@@ -121,7 +121,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, settings: Sett
     """
     s = settings
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    empty = docs.withColumns({c: F.lit(0).cast("long") for c in ("epoch", "slot", "place")})
+    new = ("epoch", "slot", "place")
+    empty = docs.limit(0).withColumns({c: F.lit(0).cast("long") for c in new})
     sizes = store.written(docs.groupBy(source.alias("k")).agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0]
     if not total:
@@ -134,12 +135,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, settings: Sett
     plan = store.written(dealt(sizes, weights, s), "plan")
     # buckets are ranges of the hash, so the order doesn't depend on their number
     bits = max(0, (total // s.bucket_rows).bit_length())
-    rows = empty.withColumns({"_k": source, "_hash": F.xxhash64(F.col("doc_id").cast("string"))})
+    # the user's columns travel as one, so that none has the name of one of these
+    rows = docs.select(source.alias("_k"), F.xxhash64(F.col("doc_id").cast("string")).alias("_hash"), F.struct(*docs.columns).alias("_own"))
     rows = rows.withColumn("_bucket", F.shiftright("_hash", 64 - bits) if bits else F.lit(0).cast("long"))
     counts = rows.groupBy("_k", "_bucket").agg(F.count("*").alias("n"))
     before = counts.select("_k", "_bucket", (F.sum("n").over(Window.partitionBy("_k").orderBy("_bucket")) - F.col("n")).alias("_before"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_k", "_bucket").orderBy("_hash", "doc_id")) - 1)
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_k", "_bucket").orderBy("_hash", "_own.doc_id")) - 1)
     ranked = ranked.join(before, ["_k", "_bucket"]).withColumn("_row", F.col("_before") + F.col("_rank"))
-    ranked = ranked.withColumn("_block", F.expr(f"_row div {s.block_rows}")).drop("epoch", "slot")
+    ranked = ranked.withColumn("_block", F.expr(f"_row div {s.block_rows}"))
     out = ranked.join(plan, ["_k", "_block"]).withColumn("place", F.col("_row") % s.block_rows)
-    return out.select(*empty.columns)
+    return out.select(*(F.col(c) if c in new else F.col("_own").getField(c).alias(c) for c in empty.columns))

@@ -140,15 +140,18 @@ def filtered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     verdict = store.written(_judged(_rows(docs), s).select(*key, "kept", (F.col("lost_words") > 0).alias("_cut")), "verdict")
     verdict = verdict.where("kept").select(*key, "_cut").distinct()
     often = frequent_lines(line_counts(_rows(docs)), s).select(*key, "_lh").join(verdict.where("_cut"), key, "left_semi")
-    keyed = docs.withColumns({"_host": F.coalesce(F.col("source").cast("string"), F.lit("")), "_th": F.xxhash64(F.col("text").cast("string"))})
+    # the user's columns travel as one, so that none has the name of one of these
+    text = F.col("_own.text").cast("string")
+    keyed = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), F.xxhash64(F.col("text").cast("string")).alias("_th"), F.struct(*docs.columns).alias("_own"))
     # the texts that lose lines, each once, taken apart and put together without them
-    cut = keyed.join(verdict.where("_cut").select(*key), key, "left_semi").groupBy(*key).agg(F.max(F.col("text").cast("string")).alias("text"))
+    cut = keyed.join(verdict.where("_cut").select(*key), key, "left_semi").groupBy(*key).agg(F.max(text).alias("text"))
     lines = cut.select("_host", "_th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("_lh", F.xxhash64(normal_line(F.col("line"))))
     left = lines.join(often, ["_host", "_th", "_lh"], "left_anti").groupBy("_host", "_th").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("_left")
     )
-    out = keyed.join(verdict, key).join(left, key, "left").withColumn("text", F.coalesce("_left", "text"))
+    out = keyed.join(verdict, key).join(left, key, "left").withColumn("_new", F.coalesce("_left", text))
+    named = {c: F.col("_own").getField(c) for c in docs.columns} | {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        named["n_chars"] = F.when(F.col("_cut"), F.length("_new")).otherwise(F.col("_own.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(c.alias(n) for n, c in named.items()))
