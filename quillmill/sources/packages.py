@@ -34,6 +34,8 @@ PREFIXES = {
     "http://schemas.openxmlformats.org/markup-compatibility/2006": "mc",
     "http://schemas.openxmlformats.org/drawingml/2006/main": "a",
     "http://schemas.openxmlformats.org/presentationml/2006/main": "p",
+    "http://schemas.microsoft.com/office/word/2010/wordml": "w14",
+    "http://schemas.microsoft.com/office/word/2012/wordml": "w15",
     "http://schemas.microsoft.com/office/word/2023/wordml/word16du": "w16du",
     "http://www.w3.org/XML/1998/namespace": "xml",
 }
