@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import values as V
-from .operators import bags, budget, relations, scan
+from .operators import bags, budget, forest, names, phrases, relations, scan
 from .plans import policy
 from .plans.document_rules import ranked
 
@@ -621,3 +621,89 @@ def kept_openings(spark: SparkSession, d: str) -> DataFrame:
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("g"))
     both = turns.join(after, ["conv_id", "turn"]).withColumn("s", budget.surplus(F.slice("w", 1, 3), F.col("g")))
     return both.select("conv_id", "turn", "s.whole", F.size("s.extra").cast("long").alias("n_extra"))
+
+
+@query("""
+with recursive n as (
+  select event_id as node, case event_type when 'signup' then null when 'error' then event_id + user_id % 3 else event_id - 1 - user_id % 7 end as parent from events
+), s as (
+  select n.node, n.parent, case when n.parent is null then 'top' when p.node is null then 'orphan' else 'below' end as state from n left join n p on p.node = n.parent
+), t as (
+  select node, node as root, 0 as depth from s where state <> 'below'
+  union all
+  select s.node, t.root, t.depth + 1 from t join s on s.parent = t.node and s.state = 'below'
+)
+select s.node as event_id, t.root, t.depth::bigint as depth, case when t.node is null then 'cycle' else s.state end as state from s left join t on t.node = s.node
+""")
+def event_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Events below an earlier one, or, errors, below a later one, which may close a cycle."""
+    late, early = F.expr("event_id + user_id % 3"), F.expr("event_id - 1 - user_id % 7")
+    parent = F.when(F.col("event_type") == "error", late).when(F.col("event_type") != "signup", early)
+    nodes = read(spark, d, "events").select(F.col("event_id").alias("node"), parent.alias("parent"))
+    return forest.rooted(nodes, []).select(F.col("node").alias("event_id"), "root", "depth", "state")
+
+
+@query("""
+with u as (select event_id, event_type, user_id, row_number() over (partition by event_type, user_id order by event_id) as use, max(user_id) over (partition by event_type) as top from events)
+select event_id, event_type, user_id, case when use > 1 then top + sum((use > 1)::int) over (partition by event_type order by event_id) end::bigint as fresh from u
+""")
+def fresh_user_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Within a type of event, repeated user ids get new numbers above all, without gaps."""
+    events = read(spark, d, "events").select("event_id", "event_type", "user_id")
+    return forest.fresh_ids(events, ["event_type"], "user_id", [F.col("event_id")])
+
+
+@query(r"""
+with w as (
+  select distinct w as word from (select unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) as w from documents)
+), s as (
+  select word, regexp_replace(regexp_replace(regexp_replace(word, '[^\p{Nd}\p{Lu}]', 'l', 'g'), '\p{Lu}', 'U', 'g'), '\p{Nd}', 'd', 'g') as shape,
+         regexp_full_match(word, '[0-9A-Za-z]*') and length(word) >= 4 as plain from w
+), p as (
+  select shape, count(*) as n, count(*) filter (plain) as taken, sha256('quill:' || shape) as h,
+         list_reduce(list_prepend(cast(1 as hugeint), list_transform(string_split(shape[1:10], ''), lambda c: case when c = 'd' then cast(10 as hugeint) else 26 end)), lambda a, b: a * b) as size
+  from s group by shape
+), q as (
+  select shape, size, least(size, n + taken) as tried, 1 + 130 * (cast('0x' || h[1:15] as hugeint) % greatest(size // 130, 1)) as factor, cast('0x' || h[16:30] as hugeint) % size as shift from p
+), e as (
+  select shape, j, (factor * j + shift) % size as v, size from (select shape, size, factor, shift, unnest(range(cast(tried as bigint))) as j from q)
+), f as (
+  select shape, j, array_to_string(list_transform(range(1, least(10, length(shape)) + 1), lambda i:
+    substr(case shape[i] when 'd' then '0123456789' when 'U' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else 'abcdefghijklmnopqrstuvwxyz' end,
+      cast(1 + (v // cast(round(pow(26, length(replace(shape[i + 1:10], 'd', ''))) * pow(10, length(regexp_replace(shape[i + 1:10], '[^d]', '', 'g')))) as hugeint)) % (case shape[i] when 'd' then 10 else 26 end) as bigint), 1)), '') as front
+  from e
+), k as (
+  select distinct shape, word[1:10] as front from s where plain
+), g as (
+  select shape, front, row_number() over (partition by shape order by j) as k from f where not exists (select 1 from k where k.shape = f.shape and k.front = f.front)
+), m as (select shape, count(*) as m from g group by shape),
+r as (
+  select word, s.shape, m.m, sha256('quill' || word) as o, row_number() over (partition by s.shape order by sha256('quill' || word)) as nth from s left join m on m.shape = s.shape
+)
+select word, g.front || array_to_string(list_transform(range(11, length(r.shape) + 1), lambda i:
+         substr(case r.shape[i] when 'd' then '0123456789' when 'U' then 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' else 'abcdefghijklmnopqrstuvwxyz' end,
+           1 + cast('0x' || substr(r.o, 1 + (2 * (i - 11)) % 64, 2) as bigint) % (case r.shape[i] when 'd' then 10 else 26 end), 1)), '') as name, nth > m as collides
+from r join g on g.shape = r.shape and g.k = (nth - 1) % m + 1
+""")
+def word_names(spark: SparkSession, d: str) -> DataFrame:
+    """A new name of the same shape for every word of the documents."""
+    docs = read(spark, d, "documents").where("text is not null")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
+    return names.renamed(words, "quill")
+
+
+@query(r"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as ws from documents where text is not null
+), b as (
+  select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as ws from benchmark
+), p as (select item_id, ws[1:2 + len(ws) % 5] as ph from b where len(ws) > 0),
+g as (select doc_id, ws, unnest(ws) as w, unnest(range(len(ws))) as pos from d)
+select distinct doc_id, item_id, pos::int as pos from g join p on g.w = ph[1] where ws[pos + 1:pos + len(ph)] = ph
+""")
+def leaked_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the documents that hold the opening words (two to six) of a benchmark item."""
+    docs = read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), phrases.tokens(F.col("text")).alias("words"))
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("phrase"), phrases.tokens(F.col("text")).alias("w"))
+    items = items.select("phrase", F.slice("w", F.lit(1), 2 + F.size("w") % 5).alias("words"))
+    return phrases.occurrences(docs, items).select(F.col("id").alias("doc_id"), F.col("phrase").alias("item_id"), F.col("at").alias("pos"))
