@@ -6,8 +6,9 @@ that the finding is about.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -358,11 +359,16 @@ def body_rules(f: Facts) -> list[DataFrame]:
     ]
 
 
+def groups(f: Facts) -> dict[str, Callable[[], list[DataFrame]]]:
+    """The rules by name, each a query that isn't planned before it is its turn."""
+    rules = (package_rules, entry_rules, relationship_rules, style_rules, numbering_rules, note_and_comment_rules, body_rules)
+    return {g.__name__: partial(g, f) for g in rules}
+
+
 def check(packages: DataFrame, limits: P.Limits = P.Limits()) -> DataFrame:
     """All findings of packages(doc, content)."""
     f = facts(packages, limits)
-    groups = (package_rules, entry_rules, relationship_rules, style_rules, numbering_rules, note_and_comment_rules, body_rules)
-    return ranked(together([g(f) for g in groups]))
+    return ranked(isolated(groups(f), f.members.select("doc").distinct()))
 
 
 def together(groups: list[list[DataFrame]]) -> DataFrame:
@@ -371,6 +377,19 @@ def together(groups: list[list[DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, (relations.cut(reduce(DataFrame.unionByName, g)) for g in groups))
 
 
+def isolated(groups: dict[str, Callable[[], list[DataFrame]]], docs: DataFrame) -> DataFrame:
+    """The findings of all groups; one that can't be planned or run is INT001 for each of
+    docs(doc), as nobody looked there, and the others' findings stand."""
+    tables = []
+    for name, rules in groups.items():
+        try:
+            tables.append(relations.cut(reduce(DataFrame.unionByName, rules())))
+        except Exception as e:  # noqa: BLE001 - whatever stops a rule is its finding
+            said = f"{name} was not completed: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+            tables.append(found(docs, "INT001", "error", said[:500], name))
+    return reduce(DataFrame.unionByName, tables)
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """findings with severity_rank, by which thresholds compare."""
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
