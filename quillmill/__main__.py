@@ -59,7 +59,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"quillmill: {e}", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("quillmill").getOrCreate()
-    found, files = findings_of(spark, args)
+    try:
+        found, files = findings_of(spark, args)
+    except ValueError as e:  # a pattern without files
+        print(f"quillmill: {e}", file=sys.stderr)
+        return 2
     found = relations.cut(found)
     if args.write_baseline:
         Path(args.write_baseline).write_text(policy.baseline_json(policy.make_baseline(found)))

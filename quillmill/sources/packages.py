@@ -7,12 +7,9 @@ doesn't fail a batch. Per-row Python only unpacks one archive or parses one part
 
 from __future__ import annotations
 
-import io
 import posixpath
 import re
-import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass
 from urllib.parse import unquote
 from xml.parsers import expat
 
@@ -23,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
+from .archive import Limits, part_name  # noqa: F401
+from .package_source import PackageSource, rows
 
 # Namespaces by the prefix that tags and attributes get here.
 PREFIXES = {
@@ -51,17 +50,6 @@ NODE_SCHEMA = pa.schema({
 })
 
 
-@dataclass(frozen=True)
-class Limits:
-    """Budgets of one archive, checked before anything is unpacked."""
-
-    entries: int = 4096
-    archive_bytes: int = 256 << 20
-    expanded_bytes: int = 512 << 20
-    entry_bytes: int = 128 << 20
-    ratio: float = 1000.0
-
-
 MEMBERS = "doc string, ord int, name string, part string, size long, packed long, crc long, is_dir boolean, data binary, code string, message string"
 NODES = (
     "doc string, part string, id int, parent int, last int, depth int, sib int, tag string, text string, tail string, "
@@ -71,11 +59,13 @@ NODES = (
 
 def load(spark: SparkSession, paths: list[str]) -> DataFrame:
     """packages(doc, content) of files and globs; a path that names nothing is a row with
-    null content (PKG000 later)."""
+    null content (PKG000 later), a pattern that names none raises ValueError."""
     out, missing = None, []
     for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop):
+            if any(c in path for c in "*?[{"):
+                raise ValueError(f"no file matches {path}")
             missing.append((path, None))
             continue
         found = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc"), "content")
@@ -86,52 +76,19 @@ def load(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def part_name(name: str) -> str | None:
-    """The compared form of a member name, or null if it is unsafe."""
-    if re.search(r"%(?![0-9A-Fa-f]{2})", name):
-        return None
-    plain = unquote(name)
-    if "\0" in plain or "\\" in plain or plain.startswith("/") or ".." in plain.split("/") or re.match(r"[A-Za-z]:", plain):
-        return None
-    return re.sub("[A-Z]", lambda m: m[0].lower(), plain)
+def opened(spark: SparkSession, paths: list[str], **options: object) -> DataFrame:
+    """The members of the files and patterns by ranges: filters on name and part decide what is
+    read of a package. Options are the fields of Limits and inflate."""
+    spark.dataSource.register(PackageSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("packages").options(path=",".join(paths), **options).load()
 
 
 def _entries(doc: str, content: bytes | None, limits: Limits, inflate: bool) -> Iterator[tuple]:
-    def bad(code: str, message: str, n: int = -1, name: str | None = None) -> tuple:
-        return (doc, n, name, None, None, None, None, None, None, code, message)
-
     if content is None:
-        yield bad("PKG000", "file is missing")
-        return
-    if len(content) > limits.archive_bytes:
-        yield bad("PKG007", f"archive has more than {limits.archive_bytes} bytes")
-        return
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-        infos = archive.infolist()
-    except (zipfile.BadZipFile, NotImplementedError, ValueError, EOFError) as e:
-        yield bad("PKG002", f"not a readable ZIP package: {e}")
-        return
-    total, seen = sum(i.file_size for i in infos), set()
-    if len(infos) > limits.entries or total > limits.expanded_bytes:
-        yield bad("PKG007", "more entries or expanded bytes than the budget")
+        yield (doc, -1, None, None, None, None, None, None, None, "PKG000", "file is missing")
         return
-    for n, info in enumerate(infos):
-        part = part_name(info.filename)
-        if part is None or part in seen:
-            yield bad("PKG008", f"unsafe or repeated member name {info.filename!r}", n, info.filename)
-            return
-        seen.add(part)
-        if info.file_size > limits.entry_bytes or info.file_size > limits.ratio * max(1, info.compress_size):
-            yield bad("PKG007", f"{info.filename} is larger than the budget", n, info.filename)
-            return
-        data, code, message = None, None, None
-        if inflate and not info.is_dir():
-            try:
-                data = archive.read(info)
-            except Exception as e:  # noqa: BLE001 - whatever the member's bytes provoke is its finding
-                code, message = "PKG001", f"{info.filename} is corrupt: {e}"
-        yield (doc, n, info.filename, part, info.file_size, info.compress_size, info.CRC, info.is_dir(), data, code, message)
+    yield from rows(doc, lambda at, n: content[at : at + n], len(content), limits, None, inflate)
 
 
 def members(packages: DataFrame, limits: Limits = Limits(), inflate: bool = True) -> DataFrame:
@@ -140,8 +97,8 @@ def members(packages: DataFrame, limits: Limits = Limits(), inflate: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [dict(zip(MEMBER_SCHEMA.names, r)) for r in _entries(doc, content, limits, inflate)]
-                yield pa.RecordBatch.from_pylist(rows, MEMBER_SCHEMA)
+                for row in _entries(doc, content, limits, inflate):  # a member is a batch of its own
+                    yield pa.RecordBatch.from_pylist([dict(zip(MEMBER_SCHEMA.names, row))], MEMBER_SCHEMA)
 
     return packages.select("doc", "content").mapInArrow(run, MEMBERS)
 
@@ -208,7 +165,7 @@ def _parse(doc: str, part: str, data: bytes) -> list[dict]:
     return parts.rows
 
 
-def nodes(rows: DataFrame) -> DataFrame:
+def nodes(members: DataFrame) -> DataFrame:
     """nodes of the XML members of members(doc, part, data); a part that can't be parsed is
     one row with an error."""
 
@@ -217,7 +174,7 @@ def nodes(rows: DataFrame) -> DataFrame:
             for doc, part, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 yield pa.RecordBatch.from_pylist([{**r, "attrs": list(r.get("attrs", {}).items())} for r in _parse(doc, part, data)], NODE_SCHEMA)
 
-    xml = rows.where("data is not null and not is_dir and (part rlike '[.](xml|rels)$')")
+    xml = members.where("data is not null and not is_dir and (part rlike '[.](xml|rels)$')")
     return xml.select("doc", "part", "data").mapInArrow(run, NODES)
 
 
