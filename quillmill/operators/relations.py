@@ -67,15 +67,42 @@ def near_pairs(df: DataFrame, group: list[str], order: str, reach: Column, colum
 
 def rectangles_overlap(shapes: DataFrame, group: list[str], order: str) -> DataFrame:
     """Pairs of shapes of a group (first < second by order) with their shared area over the
-    smaller one's area: x, y, cx, cy in whole units; empty shapes overlap nothing."""
+    smaller one's area: x, y, cx, cy in whole units; empty shapes overlap nothing.
+
+    Shapes meet by cells of grids, one for each power of two: a shape has at most four cells
+    of the grid that its longer side fits, and looks for larger ones in theirs, too. So a
+    group with many shapes is not all pairs, and no large shape is in many cells.
+    """
     cols = [order, "x", "y", "cx", "cy"]
-    a = shapes.select(*group, *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = shapes.select(*group, *(F.col(c).alias(f"b_{c}") for c in cols))
-    pairs = a.join(b, group).where(F.col(f"a_{order}") < F.col(f"b_{order}"))
-    side = lambda p, c: F.least(F.col(f"a_{p}") + F.col(f"a_{c}"), F.col(f"b_{p}") + F.col(f"b_{c}")) - F.greatest(f"a_{p}", f"b_{p}")
-    w, h = side("x", "cx"), side("y", "cy")
+    fit = F.when((F.col("cx") > 0) & (F.col("cy") > 0), F.length(F.bin(F.greatest("cx", "cy").cast("long"))).cast("int"))
+    rows = shapes.select(*group, *cols, fit.alias("_fit")).where("_fit is not null")
+    levels = sorted(r["_fit"] for r in rows.select("_fit").distinct().collect())  # at most 64
+
+    def celled(df: DataFrame, level: Column) -> DataFrame:
+        df = df.withColumn("_level", level)
+        side = F.expr("shiftleft(cast(1 as bigint), _level)")
+        reach = lambda c, d: F.sequence(F.floor(F.col(c) / side), F.floor((F.col(c) + F.col(d) - 1) / side))
+        df = df.withColumn("_cx", F.explode(reach("x", "cx")))
+        return df.withColumn("_cy", F.explode(reach("y", "cy")))
+
+    known = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
+    a = celled(rows, F.col("_fit"))
+    b = celled(rows, F.explode(F.filter(known, lambda v: v >= F.col("_fit"))))
+    a = a.select(*group, "_level", "_cx", "_cy", *(F.col(c).alias(f"l_{c}") for c in cols))
+    b = b.select(*group, "_level", "_cx", "_cy", (F.col("_fit") == F.col("_level")).alias("_same"), *(F.col(c).alias(f"s_{c}") for c in cols))
+    both = a.join(b, [*group, "_level", "_cx", "_cy"])
+    side = F.expr("shiftleft(cast(1 as bigint), _level)")
+    # the pair counts in the cell of its shared corner, and once if both have one size
+    corner = (F.floor(F.greatest("l_x", "s_x") / side) == F.col("_cx")) & (F.floor(F.greatest("l_y", "s_y") / side) == F.col("_cy"))
+    once = F.when(F.col("_same"), F.col(f"l_{order}") < F.col(f"s_{order}")).otherwise(F.col(f"l_{order}") != F.col(f"s_{order}"))
+    both = both.where(corner & once)
+    first = F.col(f"l_{order}") < F.col(f"s_{order}")
+    named = [F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{n}_{c}") for n, p, q in (("a", "l", "s"), ("b", "s", "l")) for c in cols]
+    pairs = both.select(*group, *named)
+    end = lambda p, d: F.least(F.col(f"a_{p}") + F.col(f"a_{d}"), F.col(f"b_{p}") + F.col(f"b_{d}")) - F.greatest(f"a_{p}", f"b_{p}")
+    w, h = end("x", "cx"), end("y", "cy")
     area = F.least(F.col("a_cx") * F.col("a_cy"), F.col("b_cx") * F.col("b_cy"))
-    return pairs.where((w > 0) & (h > 0) & (area > 0)).withColumn("share", w.cast("double") * h / area)
+    return pairs.where((w > 0) & (h > 0)).withColumn("share", w.cast("double") * h / area)
 
 
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
