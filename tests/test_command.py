@@ -24,6 +24,26 @@ def test_check_and_compare(spark, tmp_path, capsys):
     assert "suppressions" in capsys.readouterr().out
 
 
+def test_against_pairs_coverage_and_decks(spark, tmp_path, capsys):
+    from tests.test_decks import DECKS
+
+    paths = {k: tmp_path / k for k in ("old.docx", "new.docx", "deck.pptx", "list.csv")}
+    paths["old.docx"].write_bytes(docx("<w:p><w:r><w:t>Text</w:t></w:r></w:p><w:tbl/>"))
+    paths["new.docx"].write_bytes(docx("<w:p><w:r><w:t>Text</w:t></w:r></w:p><w:tbl/><w:sdt/>"))
+    paths["deck.pptx"].write_bytes(DECKS["overlaps"])
+    paths["list.csv"].write_text(f"source,edited\n{paths['old.docx']},{paths['new.docx']}\n{paths['new.docx']},{paths['old.docx']}\n")
+    new = str(paths["new.docx"])
+    assert main(["check", new, "--against", str(paths["old.docx"]), "--format", "json"], spark) == 1
+    codes = {f["code"] for f in json.loads(capsys.readouterr().out)["findings"]}
+    assert codes == {"SDT001", "SDT002"}
+    assert main(["compare", "--pairs", str(paths["list.csv"])], spark) == 1
+    assert [line for line in capsys.readouterr().out.splitlines() if "FID001" in line and "content controls" in line]
+    assert main(["check", f"{tmp_path}/*.*x", "--coverage"], spark) == 1
+    said = capsys.readouterr().out
+    assert "PPT006" in said and "docx.tables  checked" in said and "TBL001" in said
+    assert main(["compare", new], spark) == 2 and main(["check", new, new, "--against", new], spark) == 2
+
+
 def test_wrong_usage(tmp_path):
     config = tmp_path / "policy.toml"
     config.write_text("colour = 1")
