@@ -420,9 +420,10 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_finds_nine_of_ten_edited_lines(spark):
-    """Real lines, edited at random and not chosen by any hash."""
+    """Real lines, edited at random and not chosen by any hash. What a line's keys are doesn't
+    depend on how many there are, so the share is that of a table of any size."""
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text is not null").collect()]
-    known = sorted({normal_line(x) for t in texts for x in t.split("\n") if len(x.split()) >= 8})
+    known = sorted({normal_line(x) for t in texts for x in t.split("\n") if len(x.split()) >= 5})
     r = random.Random(11)
     picked = r.sample(known, min(600, len(known)))
     rows, pairs = [], Counter()
@@ -448,6 +449,28 @@ def test_line_dedup_finds_nine_of_ten_edited_lines(spark):
     assert all(pairs[k] > 80 and found[k] >= 0.9 * pairs[k] for k in kinds), (found, pairs)
 
 
+def test_keys_of_a_line_do_not_depend_on_other_lines(spark):
+    some = [(k, f"{'word' * (k % 3)} line {k} of {k % 7} with a few words {k % 11}") for k in range(40)]
+    keys = lambda rows: {tuple(r) for r in lines.block_keys(spark.createDataFrame(rows, "h long, line string"), lines.Settings()).collect()}
+    few, many = keys(some), keys(some + [(1000 + k, f"other words of line {k} that come often") for k in range(5000)])
+    assert few == {x for x in many if x[0] < 1000} and len(few) > 200
+
+
+def test_one_changed_word_of_a_short_line_is_met_for_certain(spark):
+    r = random.Random(5)
+    rows = []
+    for k in range(300):
+        w = [f"w{r.randint(0, 10**9)}" for _ in range(r.randint(5, 14))]
+        at, kind = r.randrange(len(w)), k % 3
+        other = w[:at] + ([f"v{k}"] if kind == 0 else [w[at], f"v{k}"] if kind == 1 else []) + w[at + 1 :]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    found = lines.block_keys(spark.createDataFrame(rows, "h long, line string"), lines.Settings()).collect()
+    by = defaultdict(set)
+    for h, key in found:
+        by[h].add(key)
+    assert all(by[2 * k] & by[2 * k + 1] for k in range(300))
+
+
 def test_line_dedup_of_short_wide_and_long_lines(spark):
     r = random.Random(9)
     long_line = [f"w{r.randint(0, 10**6)}" for _ in range(2500)]
