@@ -25,6 +25,27 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, minhash.Settings(percent=85))
 
 
+#: Sets of shingles, pairs that share one with how many, and what links reach.
+ORACLE_SQL["op7_minhash"] = r"""
+with recursive w as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select r, doc_id, list_distinct(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+         when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w
+), x as (
+  select doc_id, len(g) as n, unnest(g) as sh from s
+), p as (
+  select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from x a join x b on a.sh = b.sh and a.doc_id <> b.doc_id group by all
+), l as (select distinct a, b from p where 100 * c >= 85 * (na + nb - c)),
+t as (
+  select a as doc_id, a as c from l
+  union
+  select l.b, t.c from t join l on l.a = t.doc_id
+), m as (select doc_id, min(c) as component_id from t group by doc_id)
+select doc_id, len(g)::bigint as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept from s left join m using (doc_id)
+"""
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.table(spark, sf_dir, "documents").select("doc_id", "text")

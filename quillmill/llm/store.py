@@ -61,7 +61,3 @@ def is_empty(df: DataFrame) -> bool:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, whatever else the table carries; a name that occurs twice raises."""
-    return df.select(*names)
