@@ -22,22 +22,22 @@ from . import document_rules as D
 from . import references, revisions
 from .reading import CHARACTERS, INSERTED, REMOVED, REVISIONS, joined, owner, pieces, shown, symbol, under  # noqa: F401
 
-# Constructs that are counted, their names and what losing some of them means.
+# Constructs that are counted, and what losing some of them means; the names are ours.
 TRACKED = [
-    ("commentReference", "comment anchors", "error"),
-    ("footnoteReference", "footnote references", "error"),
-    ("endnoteReference", "endnote references", "error"),
-    ("ins", "tracked insertions", "error"),
-    ("del", "tracked deletions", "error"),
-    ("sdt", "content controls", "error"),
-    ("drawing", "images and charts", "error"),
+    ("commentReference", "marks of comments", "error"),
+    ("footnoteReference", "marks of footnotes", "error"),
+    ("endnoteReference", "marks of endnotes", "error"),
+    ("ins", "insertions under review", "error"),
+    ("del", "deletions under review", "error"),
+    ("sdt", "fields to fill in (content controls)", "error"),
+    ("drawing", "drawings", "error"),
     ("tbl", "tables", "error"),
-    ("hyperlink", "hyperlinks", "warn"),
-    ("pStyle", "paragraph style references", "warn"),
-    ("rStyle", "character style references", "warn"),
-    ("numPr", "numbered list items", "warn"),
-    ("tblHeader", "table header rows", "warn"),
-    ("sectPr", "section breaks", "warn"),
+    ("hyperlink", "links", "warn"),
+    ("pStyle", "paragraphs with a named style", "warn"),
+    ("rStyle", "text with a named style", "warn"),
+    ("numPr", "items of lists", "warn"),
+    ("tblHeader", "repeated heading rows", "warn"),
+    ("sectPr", "sections", "warn"),
 ]
 # Parts compared item by item, their item, code and name.
 BODIES = [

@@ -92,18 +92,27 @@ def load(text: str) -> Policy:
     return Policy(severity, ignores, expectations, fail_on)
 
 
+#: What makes spellings of one path equal, for paths and for patterns: one kind of slash and none
+#: twice, no segment that is a dot, no slash at an end.
+SAME_PATH = [(r"[/\\]+", "/"), (r"(^|/)\.(?=/|$)", ""), (r"^/+|/+$", ""), (r"//+", "/")]
+
+
 def path_regex(pattern: str) -> str:
     """An anchored regex for clean(): `*`, `?` and `[..]` within a segment, `**` across any
     number. A pattern that ends in a slash or in `/**` is all below it; `*` alone is all."""
-    p = pattern.replace("\\", "/")
-    globs = [g for g in (p + "**" if p.endswith("/") else p).split("/") if g not in ("", ".")]
-    return ".*" if globs in (["*"], ["**"]) else T.glob_regex("/".join(globs))
+    below = bool(re.search(r"[/\\]$", pattern))
+    for wrong, right in SAME_PATH:
+        pattern = re.sub(wrong, right, pattern)
+    if below:
+        pattern = f"{pattern}/**".removeprefix("/")
+    return ".*" if pattern in ("*", "**") else T.glob_regex(pattern)
 
 
 def clean(path: Column) -> Column:
-    """A path with slashes, without empty and `.` segments."""
-    parts = F.split(F.regexp_replace(path, r"\\", "/"), "/")
-    return F.array_join(F.filter(parts, lambda s: ~s.isin("", ".")), "/")
+    """A path as SAME_PATH has it."""
+    for wrong, right in SAME_PATH:
+        path = F.regexp_replace(path, wrong, right)
+    return path
 
 
 def apply_policy(findings: DataFrame, policy: Policy) -> DataFrame:
@@ -252,7 +261,10 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 def sarif_log(findings: DataFrame, tool: str = "quillmill", version: str = "0") -> str:
     """The whole log as one text, for a code host's upload; results stream through the driver."""
     rows = [(r["code"], json.loads(r["result"])) for r in sarif_results(findings).orderBy("doc", "code", "result").toLocalIterator()]
-    rules = [{"id": c, "defaultConfiguration": {"level": next(x["level"] for k, x in rows if k == c)}} for c in sorted({c for c, _ in rows})]
+    levels: dict[str, str] = {}
+    for code, result in rows:
+        levels.setdefault(code, result["level"])
+    rules = [{"id": c, "defaultConfiguration": {"level": level}} for c, level in sorted(levels.items())]
     return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "results": [x for _, x in rows]}]}, ensure_ascii=False)
 
 
@@ -261,7 +273,3 @@ def human_report(findings: DataFrame) -> DataFrame:
     place = F.concat_ws(" ", F.col("part"), F.col("where"))
     line = F.concat_ws("  ", F.rpad(F.upper("severity"), 5, " "), "code", "message", F.when(place != "", F.concat(F.lit("["), place, F.lit("]"))))
     return findings.select("doc", line.alias("line"), "severity_rank").orderBy("doc", F.desc("severity_rank"), "line").drop("severity_rank")
-
-
-def is_code(text: str) -> bool:
-    return bool(re.fullmatch(r"[A-Z]{3}\d{3}", text))
