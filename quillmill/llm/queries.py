@@ -127,8 +127,10 @@ with d as (
   select host, raw, doc_id, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n,
          trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as nl
   from (select host, raw, doc_id, unnest(ls) as x from w where raw is not null)
+), size as (
+  select host, count(distinct raw) as texts from d group by host
 ), often as (
-  select host, nl from l where n > 0 group by host, nl having count(distinct raw) > 100
+  select host, nl from (select host, nl, count(distinct raw) as k from l where n > 0 group by host, nl) join size using (host) where k > 10 and 100 * k > 5 * texts
 ), lost as (
   select doc_id, sum(n) as n from l join often using (host, nl) where n > 0 group by doc_id
 ), m as (

@@ -20,12 +20,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Settings:
-    """host_docs: a line in more distinct texts of one host is removed. left_words and
-    lost_percent: a document is depleted with fewer words left, or more words lost."""
+    """host_docs and host_percent: a line in more distinct texts of one host than host_docs, and
+    than that share of the host's distinct texts, is removed. left_words and lost_percent: a
+    document is depleted with fewer words left, or more words lost."""
 
     min_words: int = 20
     repeat_percent: int = 30
-    host_docs: int = 100
+    host_docs: int = 10
+    host_percent: int = 5
     left_words: int = 20
     lost_percent: int = 80
 
@@ -99,9 +101,11 @@ def line_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(per_text: DataFrame, s: Settings) -> DataFrame:
-    """The rows of line_counts whose lines are in more than host_docs texts of the host."""
+    """The rows of line_counts whose lines are above the limits of their host."""
     often = per_text.where("_lh is not null").groupBy("_host", "_lh").agg(F.count("*").alias("n")).where(F.col("n") > s.host_docs)
-    return per_text.join(often.drop("n"), ["_host", "_lh"])
+    texts = per_text.where("_lh is null").groupBy("_host").agg(F.count("*").alias("texts"))
+    often = often.join(texts, "_host").where(100 * F.col("n") > s.host_percent * F.col("texts"))
+    return per_text.join(often.select("_host", "_lh"), ["_host", "_lh"])
 
 
 def judge(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -113,11 +117,11 @@ def judge(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     Repeated rows are judged alike. Other columns are not read; an empty table gives an
     empty one.
     """
-    return _judged(_rows(docs), settings).drop("_host", "_th", "text")
+    rows = _rows(docs)
+    return _judged(rows, store.written(line_counts(rows), "lines"), settings).drop("_host", "_th", "text")
 
 
-def _judged(rows: DataFrame, s: Settings) -> DataFrame:
-    per_text = line_counts(rows)
+def _judged(rows: DataFrame, per_text: DataFrame, s: Settings) -> DataFrame:
     copies = per_text.where("_lh is null").select("_host", "_th", F.col("w").alias("copies"))
     lost = frequent_lines(per_text, s).groupBy("_host", "_th").agg(F.sum("w").alias("w"))
     lost = lost.join(copies, ["_host", "_th"]).select("_host", "_th", F.expr("w div copies").alias("lost_words"))
@@ -137,9 +141,10 @@ def filtered(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     above the limit; n_chars, where present, follows the text."""
     s, key = settings, ["_host", "_th"]
     # written before it is filtered: a filter pushed down would take the counts apart again
-    verdict = store.written(_judged(_rows(docs), s).select(*key, "kept", (F.col("lost_words") > 0).alias("_cut")), "verdict")
+    per_text = store.written(line_counts(_rows(docs)), "lines")
+    verdict = store.written(_judged(_rows(docs), per_text, s).select(*key, "kept", (F.col("lost_words") > 0).alias("_cut")), "verdict")
     verdict = verdict.where("kept").select(*key, "_cut").distinct()
-    often = frequent_lines(line_counts(_rows(docs)), s).select(*key, "_lh").join(verdict.where("_cut"), key, "left_semi")
+    often = frequent_lines(per_text, s).select(*key, "_lh").join(verdict.where("_cut"), key, "left_semi")
     # the user's columns travel as one, so that none has the name of one of these
     text = F.col("_own.text").cast("string")
     keyed = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_host"), F.xxhash64(F.col("text").cast("string")).alias("_th"), F.struct(*docs.columns).alias("_own"))

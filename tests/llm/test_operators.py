@@ -56,6 +56,19 @@ def test_quality_rules(spark):
     assert rules.judge(frame(spark, rows), settings).where("kept").count() == sum(len(v) for v in kept.values())
 
 
+def test_line_limits_are_shares_of_the_host(spark):
+    """The footer of a small host goes; in a large one a line of as many documents stays."""
+    footer, motto = "the same footer stands below every page", "now and then somebody says this line"
+    rows = [(k, f"{prose(k)}\n{footer}", "small") for k in range(60)]
+    rows += [(1000 + k, prose(1000 + k) + (f"\n{motto}" if k % 30 == 0 else ""), "large") for k in range(600)]
+    rows += [(5000 + k, f"{prose(7)}\n{motto}", "copies") for k in range(40)]  # one text, however often
+    got = rows_of(rules.judge(frame(spark, rows, False)))
+    assert all(got[k][0]["lost_words"] == 7 and got[k][0]["kept"] for k in range(60))
+    assert all(r[0]["lost_words"] == 0 for k, r in got.items() if k >= 1000)
+    kept = rows_of(rules.filtered(frame(spark, rows, False)))
+    assert all(kept[k][0]["text"] == prose(k) for k in range(60)) and motto in kept[1000][0]["text"]
+
+
 # licences
 
 
