@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def first_free(pairs: DataFrame, keys: list[str], left: str = "s_ord", right: str = "e_ord") -> DataFrame:
@@ -22,3 +25,28 @@ def first_free(pairs: DataFrame, keys: list[str], left: str = "s_ord", right: st
 
     chosen = pairs.select(*keys, left, right).distinct()
     return chosen.groupBy(*keys).applyInPandas(run, chosen.schema)
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Places of a longest rising run of the values, in order."""
+    ends: list[int] = []  # the least value that ends a run of each length
+    at: list[int] = []
+    before: list[int] = []
+    for k, v in enumerate(values):
+        n = bisect_left(ends, v)
+        before.append(at[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(v)
+            at.append(k)
+        else:
+            ends[n], at[n] = v, k
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def rising(values: Column) -> Column:
+    """The places (from 0) of as many values of an array as rise from left to right."""
+    return F.pandas_udf(lambda s: pd.Series([_rising(list(v)) for v in s]), "array<int>")(values)

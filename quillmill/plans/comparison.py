@@ -8,10 +8,8 @@ losses are warnings.
 
 from __future__ import annotations
 
-import difflib
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,31 +260,51 @@ def revision_additions(f: D.Facts, stories: DataFrame) -> DataFrame:
     return D.found(added, "FID012", "info", F.concat("story", F.lit(": "), "n", F.lit(" new tracked "), kinds[F.col("tag")], F.when(F.col("n") > 1, "s ").otherwise(" "), who), F.col("author"), where=F.col("story"))
 
 
-CHANGE = "doc string, story string, change string, number int, before string, after string, before_original string, after_original string"
-
-
-def _diff(doc: str, story: str, old: list[tuple], new: list[tuple]) -> list[tuple]:
-    """Paragraphs (number, current, original) that differ, in reading order."""
-    out = []
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, [p[1:] for p in old], [p[1:] for p in new], autojunk=False).get_opcodes():
-        if kind == "replace" and b - a == d - c:
-            out += [(doc, story, "changed", int(y[0]), x[1], y[1], x[2], y[2]) for x, y in zip(old[a:b], new[c:d])]
-        elif kind != "equal":
-            out += [(doc, story, "removed", int(x[0]), x[1], "", x[2], "") for x in old[a:b]]
-            out += [(doc, story, "added", int(y[0]), "", y[1], "", y[2]) for y in new[c:d]]
-    return out
-
-
 def diff_paragraphs(rows: DataFrame) -> DataFrame:
-    """CHANGE rows of rows(doc, story, side, number, current, original): side s is the source,
-    e the edit. One group is a story of a pair; paragraphs without text don't count."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[(frame.current != "") | (frame.original != "")].sort_values("number")
-        old, new = (list(frame[frame.side == side][["number", "current", "original"]].itertuples(index=False, name=None)) for side in "se")
-        return pd.DataFrame(_diff(*key, old, new), columns=[c.split()[0] for c in CHANGE.split(", ")])
-
-    return rows.groupBy("doc", "story").applyInPandas(run, CHANGE)
+    """(doc, story, change, number, before, after, before_original, after_original) of rows(doc,
+    story, side, number, current, original): side s is the source, e the edit.
+
+    Paragraphs that either side has once, and the other too, are the fixed points, as many as
+    keep one order. Of a stretch between two of them, what both sides begin and end with is
+    equal; the rest is changed, if both have as many, or removed and added. Paragraphs
+    without text don't count.
+    """
+    key = ["doc", "story"]
+    in_order = lambda *more: Window.partitionBy(*key, *more)  # noqa: E731 - of one story of a pair
+    rows = rows.where("current <> '' or original <> ''").withColumn("h", F.sha2(F.to_json(F.struct("current", "original")), 256))
+    rows = relations.cut(rows.withColumn("at", F.row_number().over(in_order("side").orderBy("number"))))
+    once = rows.groupBy(*key, "side", "h").agg(F.count("*").alias("n"), F.min("at").alias("at")).where("n = 1")
+    i, j = (once.where(F.col("side") == side).select(*key, "h", F.col("at").alias(name)) for side, name in (("s", "i"), ("e", "j")))
+    points = i.join(j, [*key, "h"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("ps"))
+    points = points.withColumn("keep", matching.rising(F.transform("ps", lambda x: x["j"])))
+    fixed = points.select(*key, F.posexplode(F.transform("keep", lambda k: F.get("ps", k))).alias("k", "p"))
+    fixed = fixed.select(*key, F.explode(F.array(F.struct(F.lit("s").alias("side"), F.col("p.i").alias("at")), F.struct(F.lit("e").alias("side"), F.col("p.j").alias("at")))).alias("x"), (F.col("k") + 1).alias("k")).select(*key, "x.*", "k")
+    rows = rows.join(fixed, [*key, "side", "at"], "left")
+    stretch = F.coalesce(F.max("k").over(in_order("side").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = rows.withColumn("stretch", stretch).where("k is null")
+    item = F.struct("at", "number", "current", "original", "h")
+    sides = [rows.where(F.col("side") == side).groupBy(*key, "stretch").agg(F.sort_array(F.collect_list(item)).alias(name)) for side, name in (("s", "a"), ("e", "b"))]
+    both = sides[0].join(sides[1], [*key, "stretch"], "full_outer")
+    none = F.array().cast("array<struct<at:int,number:int,current:string,original:string,h:string>>")
+    both = both.withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
+    names = lambda c: F.transform(c, lambda x: x["h"])
+    both = both.withColumn("head", T.common_prefix(names("a"), names("b")))
+    both = both.withColumns({c: F.slice(c, F.col("head") + 1, F.size(c)) for c in "ab"})
+    both = both.withColumn("tail", T.common_prefix(F.reverse(names("a")), F.reverse(names("b"))))
+    both = both.withColumns({c: F.slice(c, F.lit(1), F.size(c) - F.col("tail")) for c in "ab"})
+    empty, nothing = F.lit(""), F.array().cast("array<struct<change:string,number:int,before:string,after:string,before_original:string,after_original:string>>")
+
+    def told(change: str, number: Column, x: Column | None, y: Column | None) -> Column:
+        text = lambda v, c: empty if v is None else v[c]
+        return F.struct(
+            F.lit(change).alias("change"), number.cast("int").alias("number"), text(x, "current").alias("before"), text(y, "current").alias("after"),
+            text(x, "original").alias("before_original"), text(y, "original").alias("after_original"),
+        )
+
+    changed = F.zip_with("a", "b", lambda x, y: told("changed", y["number"], x, y))
+    apart = F.concat(F.transform("a", lambda x: told("removed", x["number"], x, None)), F.transform("b", lambda y: told("added", y["number"], None, y)))
+    out = F.when((F.size("a") == 0) & (F.size("b") == 0), nothing).when(F.size("a") == F.size("b"), changed).otherwise(apart)
+    return both.select(*key, F.inline(out))
 
 
 def numbered(f: D.Facts, stories: DataFrame) -> DataFrame:
