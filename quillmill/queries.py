@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import values as V
 from .operators import bags, budget, forest, names, phrases, relations, scan
-from .plans import policy
+from .plans import evidence, policy
 from .plans.document_rules import ranked
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -707,3 +707,29 @@ def leaked_phrases(spark: SparkSession, d: str) -> DataFrame:
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("phrase"), phrases.tokens(F.col("text")).alias("w"))
     items = items.select("phrase", F.slice("w", F.lit(1), 2 + F.size("w") % 5).alias("words"))
     return phrases.occurrences(docs, items).select(F.col("id").alias("doc_id"), F.col("phrase").alias("item_id"), F.col("at").alias("pos"))
+
+
+@query(r"""
+with e as (
+  select doc_id as doc, 'low' as code from labels where quality = 0 union select doc_id, 'toxic' from labels where toxic = 1
+), f as (
+  select doc_id as doc, 'low' as code from documents where n_chars < 300 or text like '%###%'
+  union select doc_id, 'toxic' from documents where regexp_matches(text, '[!?]{2}') union select doc_id, 'repeated' from documents where starts_with(text, '  ')
+), m as (
+  select coalesce(e.code, f.code) as code, count(*) filter (e.code is not null and f.code is not null) as tp,
+         count(*) filter (e.code is null) as fp, count(*) filter (f.code is null) as fn
+  from e full join f on e.doc = f.doc and e.code = f.code group by 1
+)
+select r.code, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn,
+       case when tp + fp > 0 then tp / (tp + fp) end as precision, case when tp + fn > 0 then tp / (tp + fn) end as recall
+from (values ('low'), ('toxic'), ('repeated'), ('never')) r(code) left join m using (code)
+""")
+def rule_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """How plain tests of the documents meet their labels."""
+    labels, docs = read(spark, d, "labels"), read(spark, d, "documents")
+    pairs = lambda df, test, code: df.where(test).select(F.col("doc_id").alias("doc"), F.lit(code).alias("code"))
+    expected = pairs(labels, "quality = 0", "low").unionByName(pairs(labels, "toxic = 1", "toxic"))
+    found = pairs(docs, "n_chars < 300 or text like '%###%'", "low").unionByName(pairs(docs, F.col("text").rlike("[!?]{2}"), "toxic"))
+    found = found.unionByName(pairs(docs, F.col("text").startswith("  "), "repeated"))
+    rules = spark.createDataFrame([(c,) for c in ("low", "toxic", "repeated", "never")], "code string")
+    return evidence.rule_metrics(expected, found, rules)
