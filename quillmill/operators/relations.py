@@ -122,8 +122,8 @@ def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
         parts.append(front)
         if depth % 16 == 0:  # one table again, so plans stay short
             found = cut(found)
-            drop(*parts)
-            parts = [found]
+            drop(*parts[:-1])  # the last one is the front
+            parts = [found, front]
 
 
 def carry_forward(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
