@@ -77,8 +77,15 @@ class Encoder:
             self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=found[0], special_tokens=found[1])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if self.ranks is not None:
-            return [self.ranks.encode_to_numpy(t, allowed_special="all") for t in texts]
+        return [self.ranked(t) for t in texts] if self.ranks is not None else self.plain(texts)
+
+    def ranked(self, text: str) -> np.ndarray:
+        try:
+            return self.ranks.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # a run of blanks so long that the pattern's stack is full
+            return self.plain([text])[0]
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 

@@ -33,6 +33,12 @@ def test_ranks_give_the_ids_of_the_tokenizer():
         assert ids.tolist() == WHOLE.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_runs_have_the_ids_of_the_tokenizer():
+    texts = [" " * 1_200_000 + "a", "\n" * 1_200_000, "x" * 1_000_000, "." * 500_000, "漢字" * 200_000, "ab \n\t" * 100_000]
+    for text, ids in zip(texts, packing.Encoder(packing.Settings(FILE)).ids(texts)):
+        assert ids.tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
 def test_ranks_give_the_ids_of_whole_tables():
     import duckdb
 
