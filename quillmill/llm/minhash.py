@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays, bloom, graph, store
@@ -137,6 +137,39 @@ def _sets(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
             at += len(sets)
 
 
+def close_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, once each: every pair of ids with different labels whose sets may reach the
+    similarity, of sets(id, label, set, shingles); an id may have several sets, told apart by
+    `set`. No pair that reaches it is left out.
+
+    Shingles are ordered by frequency, rare ones first. Sets x and y, x not larger, of that
+    similarity share at least percent * (x + y) / (100 + percent) shingles. So the first one
+    that they share is among those of x that have 2 * percent * x / (100 + percent) from there
+    to the end, and among those of y that have percent * y / 100. Sets whose larger part is
+    common to many have no common shingle that far in front. Of the labels of a shingle, the
+    one with most sets does not meet itself, so a group of links is not all its pairs."""
+    flat = sets.select("id", "label", "set", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    known = flat.groupBy("key").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("id", "set").orderBy(F.desc("n"), F.desc("key"))
+    placed = flat.join(known, "key").withColumn("rest", F.row_number().over(order))  # shingles from here to the end
+    near = placed.where((F.col("n") > 1) & (100 * F.col("rest") >= percent * F.col("size")))
+    near = near.select("key", "id", "label", "size", "rest", ((100 + percent) * F.col("rest") >= 2 * percent * F.col("size")).alias("front"))
+    per = near.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(
+        F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")
+    )
+    near = store.written(near.join(per.where("labels > 1").select("key", "main"), "key"), "prefixes")
+    found = []
+    for mine in ("label <> main", "label = main"):
+        x = near.where(f"front and {mine}").select("key", "main", *(F.col(c).alias(f"x_{c}") for c in ("id", "label", "size", "rest")))
+        # sets of the main label meet strays only
+        y = (near if mine == "label <> main" else near.where("label <> main")).select("key", *(F.col(c).alias(f"y_{c}") for c in ("id", "label", "size", "rest")))
+        sizes = (F.col("x_size") <= F.col("y_size")) & (100 * F.col("x_size") >= percent * F.col("y_size"))
+        shared = (100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_size") + F.col("y_size"))
+        meet = x.alias("_x").join(y.alias("_y"), (F.col("_x.key") == F.col("_y.key")) & (F.col("x_label") != F.col("y_label")) & sizes & shared)
+        found.append(meet.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")))
+    return found[0].unionByName(found[1]).distinct()
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
 
@@ -160,29 +193,6 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         found = bloom.candidates(texts, ids, ["doc_id"]).join(ids, "doc_id").select("doc_id", "text")
         return found.mapInArrow(lambda it: _sets(it, s), "doc_id long, shingles array<long>")
 
-    def finish(open_: DataFrame) -> DataFrame:
-        """Links between groups that still share buckets. Documents that buckets connect
-        are one clump; in it, those outside of its largest group meet all of other groups,
-        with the exact test inside the join, so only links leave it."""
-        hubs = open_.groupBy("key").agg(F.min("id").alias("a"))
-        clumps = graph.components(open_.join(hubs, "key").select("a", F.col("id").alias("b")).distinct())
-        labels = open_.groupBy("id").agg(F.min("label").alias("label"))
-        sets = sets_of(labels.select(F.col("id").alias("doc_id")))
-        clumps = clumps.withColumnRenamed("node", "id").join(labels, "id")
-        largest = clumps.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(
-            F.max_by("label", F.struct("n", "label")).alias("main")
-        )
-        rows = clumps.join(largest, "component").join(sets.withColumnRenamed("doc_id", "id"), "id")
-        rows = store.written(rows.select("component", "id", "label", "main", "shingles", F.size("shingles").alias("size")), "clumps")
-        x = rows.where("label <> main").select("component", F.col("id").alias("x_id"), F.col("label").alias("x_label"), F.col("shingles").alias("x"), F.col("size").alias("x_size"))
-        y = rows.select("component", F.col("id").alias("y_id"), F.col("label").alias("y_label"), "main", F.col("shingles").alias("y"), F.col("size").alias("y_size"))
-        both = F.size(F.array_intersect("x", "y"))
-        meet = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("main")) | (F.col("x_id") < F.col("y_id")))
-        sizes = 100 * F.least("x_size", "y_size") >= s.percent * F.greatest("x_size", "y_size")
-        exact = 100 * both >= s.percent * (F.col("x_size") + F.col("y_size") - both)
-        on = (F.col("_x.component") == F.col("_y.component")) & meet & sizes & exact
-        return x.alias("_x").join(y.alias("_y"), on).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-
     def verify(pairs: DataFrame, some: bool) -> DataFrame:
         a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
         b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
@@ -209,6 +219,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         exact = exact.groupBy("a", "b").agg(F.max("linked").alias("linked"))
         return exact.unionAll(rated.where("not alive").select("a", "b", F.lit(False)))
 
+    def finish(open_: DataFrame) -> DataFrame:
+        """Links between groups that still share buckets: the pairs that close_pairs leaves go
+        the way of all others, through the signatures and the exact test."""
+        labels = store.written(open_.groupBy("id").agg(F.min("label").alias("label")), "labels")
+        sets = sets_of(labels.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
+        # a doc_id in rows with different texts has the sets of all of them
+        rows = store.written(sets.join(labels, "id").select("id", "label", F.xxhash64("shingles").alias("set"), "shingles"), "open_sets")
+        pairs = store.written(close_pairs(rows, s.percent), "close")
+        links = store.written(verify(pairs, False).where("linked").select("a", "b"), "close_links")
+        store.drop(labels, rows, pairs)
+        return links
+
     linked = graph.grouped(buckets, verify, rounds=3, finish=finish)
     named = classes.select("digest", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("component_id"))

@@ -335,6 +335,27 @@ def test_minhash(spark, percent):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_close_pairs_of_a_clump_are_few_and_none_is_left_out(spark, percent):
+    r, common = random.Random(5), list(range(140))
+    # 150 sets of which 70 % are common to all, and a group of near copies with strays around it
+    rows = [(k, k, common + [1000 * (k + 1) + i for i in range(60)]) for k in range(150)]
+    base = [10**6 + i for i in range(100)]
+    rows += [(200 + k, 200, r.sample(base, 96) + [10**7 + 100 * k + i for i in range(4)]) for k in range(60)]
+    rows += [(300 + k, 300 + k, r.sample(base, 70 + k) + [10**8 + 100 * k + i for i in range(r.randrange(12))]) for k in range(30)]
+    sets = {k: (label, set(s)) for k, label, s in rows}
+    want = set()
+    for a in sets:
+        for b in sets:
+            (la, x), (lb, y) = sets[a], sets[b]
+            if a < b and la != lb and 100 * len(x & y) >= percent * len(x | y):
+                want.add((a, b))
+    df = spark.createDataFrame([(k, label, k, s) for k, label, s in rows], "id long, label long, set long, shingles array<long>")
+    got = [(p["a"], p["b"]) for p in minhash.close_pairs(df, percent).collect()]
+    assert want and want <= set(got) and len(got) == len(set(got))
+    assert not [p for p in got if p[1] < 200]  # of 11,175 pairs that share much, none may reach it
+
+
 # decontamination
 
 
