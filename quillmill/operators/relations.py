@@ -88,21 +88,29 @@ def rectangles_overlap(shapes: DataFrame, group: list[str], order: str) -> DataF
     known = F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")
     a = celled(rows, F.col("_fit"))
     b = celled(rows, F.explode(F.filter(known, lambda v: v >= F.col("_fit"))))
-    a = a.select(*group, "_level", "_cx", "_cy", *(F.col(c).alias(f"l_{c}") for c in cols))
-    b = b.select(*group, "_level", "_cx", "_cy", (F.col("_fit") == F.col("_level")).alias("_same"), *(F.col(c).alias(f"s_{c}") for c in cols))
-    both = a.join(b, [*group, "_level", "_cx", "_cy"])
+    # ends and a cell's own corner are worked out for each row, so a pair costs a few comparisons
     side = F.expr("shiftleft(cast(1 as bigint), _level)")
+    a = a.select(*group, "_level", "_cx", "_cy", *(F.col(c).alias(f"l_{c}") for c in cols), (F.col("x") + F.col("cx")).alias("_lx"), (F.col("y") + F.col("cy")).alias("_ly"))
+    b = b.select(
+        *group, "_level", "_cx", "_cy", (F.col("_fit") == F.col("_level")).alias("_same"), *(F.col(c).alias(f"s_{c}") for c in cols),
+        (F.col("x") + F.col("cx")).alias("_sx"), (F.col("y") + F.col("cy")).alias("_sy"), (F.col("_cx") * side).alias("_x0"), (F.col("_cy") * side).alias("_y0"),
+    )
+    # few bytes make many pairs, so partitions must not be put together by their bytes
+    key = [*group, "_level", "_cx", "_cy"]
+    a, b = (df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key) for df in (a, b))
+    touch = (F.col("l_x") < F.col("_sx")) & (F.col("s_x") < F.col("_lx")) & (F.col("l_y") < F.col("_sy")) & (F.col("s_y") < F.col("_ly"))
     # the pair counts in the cell of its shared corner, and once if both have one size
-    corner = (F.floor(F.greatest("l_x", "s_x") / side) == F.col("_cx")) & (F.floor(F.greatest("l_y", "s_y") / side) == F.col("_cy"))
-    once = F.when(F.col("_same"), F.col(f"l_{order}") < F.col(f"s_{order}")).otherwise(F.col(f"l_{order}") != F.col(f"s_{order}"))
-    both = both.where(corner & once)
+    corner = ((F.col("l_x") >= F.col("_x0")) | (F.col("s_x") >= F.col("_x0"))) & ((F.col("l_y") >= F.col("_y0")) | (F.col("s_y") >= F.col("_y0")))
+    once = (F.col(f"l_{order}") < F.col(f"s_{order}")) | (~F.col("_same") & (F.col(f"l_{order}") != F.col(f"s_{order}")))
+    same = [F.col("_a." + k) == F.col("_b." + k) for k in key]
+    both = a.alias("_a").join(b.alias("_b"), reduce(lambda x, y: x & y, same) & touch & corner & once)
     first = F.col(f"l_{order}") < F.col(f"s_{order}")
     named = [F.when(first, F.col(f"{p}_{c}")).otherwise(F.col(f"{q}_{c}")).alias(f"{n}_{c}") for n, p, q in (("a", "l", "s"), ("b", "s", "l")) for c in cols]
-    pairs = both.select(*group, *named)
+    pairs = both.select(*(F.col("_a." + g) for g in group), *named)
     end = lambda p, d: F.least(F.col(f"a_{p}") + F.col(f"a_{d}"), F.col(f"b_{p}") + F.col(f"b_{d}")) - F.greatest(f"a_{p}", f"b_{p}")
     w, h = end("x", "cx"), end("y", "cy")
     area = F.least(F.col("a_cx") * F.col("a_cy"), F.col("b_cx") * F.col("b_cy"))
-    return pairs.where((w > 0) & (h > 0)).withColumn("share", w.cast("double") * h / area)
+    return pairs.withColumn("share", w.cast("double") * h / area)
 
 
 def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:

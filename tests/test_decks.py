@@ -142,3 +142,9 @@ def test_overlaps_by_cells_are_those_of_all_pairs(spark):
                     want[i, j] = w * t / min(cx * cy, cx2 * cy2)
     found = relations.rectangles_overlap(spark.createDataFrame(rows, "g string, i long, x long, y long, cx long, cy long"), ["g"], "i").collect()
     assert len(found) == len(want) and {(x["a_i"], x["b_i"]): x["share"] for x in found} == want
+
+
+def test_pairs_of_few_bytes_are_many_tasks(spark):
+    rows = [(f"g{k % 40}", k, k % 97, k % 50, k % 53 + 1, k % 29 + 1) for k in range(1200)]
+    found = relations.rectangles_overlap(spark.createDataFrame(rows, "g string, i long, x long, y long, cx long, cy long"), ["g"], "i")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
