@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .tables import cut, drop
 
 
 def bag_counts(df: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
@@ -94,15 +97,23 @@ def match_texts(source: DataFrame, edited: DataFrame, keys: list[str], rounds: l
     """One-to-one matches of two bags of rows: in each round (source column, edited column)
     the k-th free source row of a value meets the k-th free edited row of it, so every row
     is used once. Returns keys, s_<order>, e_<order>, round."""
+    # both bags are one table, written once: each round numbers all of it in one pass
+    row = lambda df, side, cs: df.select(*keys, F.col(order).alias("_ord"), F.lit(side).alias("_side"), *(F.col(c).alias(f"_v{n}") for n, c in enumerate(cs)))
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))  # a null key equals nothing
+    free = cut(row(source, 0, [x for x, _ in rounds]).unionByName(row(edited, 1, [y for _, y in rounds])).where(known))
     found = None
-    for n, (x, y) in enumerate(rounds):
-        a, b = source.where(F.col(x).isNotNull()), edited.where(F.col(y).isNotNull())
-        if found is not None:
-            a = a.join(found.select(*keys, F.col(f"s_{order}").alias(order)), [*keys, order], "left_anti")
-            b = b.join(found.select(*keys, F.col(f"e_{order}").alias(order)), [*keys, order], "left_anti")
-        a = a.select(*keys, F.col(x).alias("_v"), F.col(order).alias(f"s_{order}"))
-        b = b.select(*keys, F.col(y).alias("_v"), F.col(order).alias(f"e_{order}"))
-        a, b = (numbered(rows, [*keys, "_v"], [F.col(f"{side}_{order}")], "_k") for rows, side in ((a, "s"), (b, "e")))
-        now = a.join(b, [*keys, "_v", "_k"]).select(*keys, f"s_{order}", f"e_{order}", F.lit(n).alias("round"))
+    for n in range(len(rounds)):
+        value = f"_v{n}"
+        k = numbered(free.where(F.col(value).isNotNull()).select(*keys, value, "_side", "_ord"), [*keys, value, "_side"], [F.col("_ord")], "_k")
+        # the k-th of both sides of a value are one row
+        both = k.groupBy(*keys, value, "_k").agg(*(F.min(F.when(F.col("_side") == s, F.col("_ord"))).alias(f"{c}_{order}") for s, c in enumerate("se")), F.count("*").alias("_n"))
+        now = both.where("_n = 2").select(*keys, f"s_{order}", f"e_{order}", F.lit(n).alias("round"))
+        if n + 1 < len(rounds):
+            now = cut(now)
+            used = now.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("_side"), F.col(f"s_{order}").alias("_ord")), F.struct(F.lit(1).alias("_side"), F.col(f"e_{order}").alias("_ord")))).alias("_u"))
+            used = used.select(*keys, "_u.*")
+            rest = cut(free.join(used, [*keys, "_side", "_ord"], "left_anti"))
+            drop(free)
+            free = rest
         found = now if found is None else found.unionByName(now)
     return found

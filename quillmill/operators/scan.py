@@ -31,10 +31,23 @@ def inside(keys: list[str], order: list[Column]) -> WindowSpec:
     return Window.partitionBy(*keys, PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of keys that several ranges hold: each is the last key of a range and the first
+    one of the next, so there are fewer than ranges, however many keys there are."""
+    if not keys:
+        return rows
+    ends = rows.groupBy(PART).agg(F.min(F.struct(*keys)).alias("_scan_low_key"), F.max(F.struct(*keys)).alias("_scan_high_key"))
+    ends = ends.select(PART, F.explode(F.array("_scan_low_key", "_scan_high_key")).alias("_scan_key"))
+    several = ends.groupBy("_scan_key").agg(F.countDistinct(PART).alias("_scan_m")).where("_scan_m > 1")
+    several = several.select(*(F.col("_scan_key")[k].alias(f"_scan_key_{i}") for i, k in enumerate(keys)))
+    on = [F.col(k).eqNullSafe(F.col(f"_scan_key_{i}")) for i, k in enumerate(keys)]
+    return rows.join(F.broadcast(several), on, "left_semi")
+
+
 def ahead(rows: DataFrame, keys: list[str], summary: dict[str, Column], *stages: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
     """rows with the columns of the stages, worked out over the summaries of the key's earlier
-    ranges; a stage sees the columns of those before it."""
-    per = rows.groupBy(*keys, PART).agg(*(c.alias(n) for n, c in summary.items()))
+    ranges; a stage sees the columns of those before it. Null for keys of one range."""
+    per = spread(rows, keys).groupBy(*keys, PART).agg(*(c.alias(n) for n, c in summary.items()))
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     names: list[str] = []
     for stage in stages:
@@ -43,7 +56,7 @@ def ahead(rows: DataFrame, keys: list[str], summary: dict[str, Column], *stages:
     named = {k: f"_scan_{i}" for i, k in enumerate([*keys, PART])}
     per = per.select(*(F.col(k).alias(v) for k, v in named.items()), *names)
     on = [F.col(k).eqNullSafe(F.col(v)) for k, v in named.items()]
-    return rows.join(per, on, "left").drop(*named.values())
+    return rows.join(F.broadcast(per), on, "left").drop(*named.values())  # two rows a range at most
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, range_rows: int | None = None) -> DataFrame:
@@ -105,7 +118,7 @@ def brackets(df: DataFrame, keys: list[str], order: list[Column], mark: Column)
         rows, keys, summary, lambda w: {"_scan_n": F.sum("_scan_rows").over(w), "_scan_base": F.coalesce(F.sum("_scan_total").over(w), F.lit(0))},
         lambda w: {"_scan_lows": F.min(F.col("_scan_base") + F.col("_scan_least")).over(w)},
     )
-    base = F.col("_scan_base")
+    base = F.coalesce("_scan_base", F.lit(0))
     # the sum is counted from its lowest value so far: an end at that depth closes nothing
     low = F.least(F.lit(0), F.coalesce("_scan_lows", F.lit(0)), F.coalesce(base + F.col("_scan_low"), F.lit(0)))
     before = base + F.col("_scan_sum") - F.col("_scan_v") - low  # open brackets before the row

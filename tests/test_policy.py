@@ -1,12 +1,13 @@
 """Severities, ignores, baselines, the source's findings, expectations and reports."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import bags
+from quillmill.operators import bags, scan
 from quillmill.plans import policy as Y
 from quillmill.plans.document_rules import ranked
 
@@ -132,3 +133,34 @@ def test_common_prefix_and_snippet(spark):
     df = spark.createDataFrame([(["a", "b"], ["a", "c"], "abcdef"), ([], ["a"], "ab")], "a array<string>, b array<string>, s string")
     got = df.select(T.common_prefix(F.col("a"), F.col("b")), T.snippet(F.col("s"), 5)).collect()
     assert [tuple(r) for r in got] == [(1, "ab..."), (0, "ab")]
+
+
+def test_only_keys_of_several_ranges_are_summed_up(spark):
+    rows = [(k % 700 if k % 3 else 7, k) for k in range(6000)] + [(None, k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g long, o long")
+    ranges = scan.apart(df, ["g"], [F.col("o")], 400)
+    found = [r["g"] for r in scan.spread(ranges, ["g"]).select("g").distinct().collect()]
+    held = {}
+    for r in ranges.collect():
+        held.setdefault(r["g"], set()).add(r[scan.PART])
+    assert sorted(found, key=str) == sorted((g for g, parts in held.items() if len(parts) > 1), key=str)
+    assert 7 in found and len(found) < 40
+
+
+def test_each_row_is_matched_once(spark):
+    r = random.Random(3)
+    sides = [[(r.choice(["x", "y", None]), k, r.choice([1, 2, 3, None]), r.choice([1, 2, None])) for k in range(150)] for _ in range(2)]
+    want, used = set(), [set(), set()]
+    for n in range(2):
+        free = [{}, {}]
+        for s in range(2):
+            for g, k, *v in sides[s]:
+                if g is not None and v[n] is not None and k not in used[s]:
+                    free[s].setdefault((g, v[n]), []).append(k)
+        now = [(g, a, b, n) for (g, v), xs in free[0].items() for a, b in zip(xs, free[1].get((g, v), []))]
+        want |= set(now)
+        for s in range(2):
+            used[s] |= {x[1 + s] for x in now}
+    a, b = (spark.createDataFrame(x, "g string, ord long, p long, q long") for x in sides)
+    got = bags.match_texts(a, b, ["g"], [("p", "p"), ("q", "q")]).collect()
+    assert len(got) == len(want) and {(x["g"], x["s_ord"], x["e_ord"], x["round"]) for x in got} == want
