@@ -268,12 +268,16 @@ def first_failing_hop(spark: SparkSession, d: str) -> DataFrame:
     orders = read(spark, d, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
     customer = read(spark, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_nationkey")
     nation = read(spark, d, "nation").where("n_regionkey <> 2").select("n_nationkey")
-    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
-    out = relations.first_failing_hop(lines, [
-        (orders, F.col("o_orderkey") == F.col("l_orderkey"), "o_orderkey", "order"),
+    # the later hops hang on the order alone: its lines don't travel by keys that are null where a hop failed
+    orders = relations.first_failing_hop(orders, [
         (customer, F.col("c_custkey") == F.col("o_custkey"), "c_custkey", "customer"),
         (nation, F.col("n_nationkey") == F.col("c_nationkey"), "n_nationkey", "nation"),
-    ])
+    ]).select("o_orderkey", F.col("failed").alias("later"))
+    # partitions are not put together by their few bytes, which are many rows in a task's memory
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition(many, "l_orderkey")
+    out = relations.first_failing_hop(lines, [(orders, F.col("o_orderkey") == F.col("l_orderkey"), "o_orderkey", "order")])
+    out = out.withColumn("failed", F.coalesce("failed", "later"))
     return out.groupBy("l_orderkey", "l_linenumber", "failed").agg(F.count("*").alias("n"))
 
 

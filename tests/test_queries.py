@@ -46,6 +46,11 @@ def test_reachable_has_no_last_level(spark):
     assert sorted((r["node"], r["depth"]) for r in got) == [(k, k) for k in range(far + 1)]
 
 
+def test_lines_of_few_bytes_stay_in_many_tasks(spark):
+    found = Q.QUERIES["first_failing_hop"](spark, str(SF))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_every_query_has_a_twin():
     assert set(Q.QUERIES) == set(Q.ORACLE_SQL)
 
