@@ -61,6 +61,18 @@ def _filled(word: Column, shape_: Column, secret: str) -> Column:
     return F.array_join(F.transform(rest, letter), "")
 
 
+def attempts(per: DataFrame) -> DataFrame:
+    """(shape, j, front): the first `tried` names of each shape of per(shape, size, factor,
+    shift, tried). A shape with many names is many tasks: blocks are few bytes, so their
+    partitions must not be put together."""
+    many = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = per.select("shape", "size", "factor", "shift", "tried", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tried") - 1) / BLOCK))).alias("block")).repartition(many, "shape", "block")
+    low = F.col("block") * BLOCK
+    tried = blocks.select("shape", "size", "factor", "shift", F.explode(F.sequence(low, F.least(low + BLOCK, F.col("tried")) - 1)).alias("j"))
+    value = (F.col("factor").cast("decimal(18,0)") * F.col("j").cast("decimal(18,0)") + F.col("shift").cast("decimal(18,0)")) % F.col("size").cast("decimal(18,0)")
+    return tried.select("shape", "j", spelled(value, F.col("shape")).alias("front"))
+
+
 def renamed(words: DataFrame, secret: str) -> DataFrame:
     """(word, name, collides) of the distinct words(word) that aren't empty, written.
 
@@ -81,12 +93,7 @@ def renamed(words: DataFrame, secret: str) -> DataFrame:
         "factor": 1 + 130 * (part(1) % F.greatest(F.floor(F.col("size") / 130).cast("long"), F.lit(1))), "shift": part(16) % F.col("size"),
         "tried": F.least(F.col("size"), F.col("n") + F.col("taken")),
     })
-    # a shape with many words is many tasks
-    blocks = per.select("shape", "size", "factor", "shift", "tried", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tried") - 1) / BLOCK))).alias("block")).repartition("shape", "block")
-    low = F.col("block") * BLOCK
-    tried = blocks.select("shape", "size", "factor", "shift", F.explode(F.sequence(low, F.least(low + BLOCK, F.col("tried")) - 1)).alias("j"))
-    value = (F.col("factor").cast("decimal(18,0)") * F.col("j").cast("decimal(18,0)") + F.col("shift").cast("decimal(18,0)")) % F.col("size").cast("decimal(18,0)")
-    tried = tried.select("shape", "j", spelled(value, F.col("shape")).alias("front"))
+    tried = cut(attempts(per))
     known = own.where(plain).select("shape", F.substring("word", 1, FRONT).alias("front")).distinct()
     free = scan.numbered(tried.join(known, ["shape", "front"], "left_anti"), ["shape"], [F.col("j")], "k")
     many = free.groupBy("shape").agg(F.count("*").alias("m"))
@@ -98,5 +105,5 @@ def renamed(words: DataFrame, secret: str) -> DataFrame:
     # where every name is a word's, the word's own digest spells one
     front = F.coalesce("front", spelled(F.conv(F.substring(F.col("o"), 1, 13), 16, 10).cast("long") % capacity(F.col("shape")), F.col("shape")))
     out = cut(out.select("word", F.concat(front, _filled(F.col("word"), F.col("shape"), secret)).alias("name"), "collides"))
-    drop(own)
+    drop(own, tried)
     return out

@@ -62,3 +62,10 @@ def test_phrases_are_those_of_a_plain_search(spark):
     got = {tuple(x) for x in phrases.occurrences(df, ph).select("id", "phrase", "at").collect()}
     # texts with one id share their places, so a phrase may be put together from both
     assert got >= want and {x for x in got if x[0] != 0} == {x for x in want if x[0] != 0}
+
+
+def test_names_of_one_shape_are_tried_in_many_tasks(spark):
+    per = spark.createDataFrame([("llllll", 26**6, 131, 5, 95_000)], "shape string, size long, factor long, shift long, tried long")
+    tried = names.attempts(per)
+    assert tried.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert tried.select("front").distinct().count() == 95_000
