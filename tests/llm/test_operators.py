@@ -12,6 +12,7 @@ from fractions import Fraction
 from itertools import islice
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import decontam, licenses, lines, minhash, mixing, quality, repeats, rules, urlfilter, warc
 from tests.llm.helpers import SCHEMA, documents, edited, frame, prose, words
@@ -505,6 +506,40 @@ def test_one_changed_word_of_a_short_line_is_met_for_certain(spark):
     assert all(by[2 * k] & by[2 * k + 1] for k in range(300))
 
 
+def test_lines_that_reach_the_similarity_share_a_key_and_pass_the_sketch(spark):
+    """Short and frequent words, edits up to the limit, in words and in characters."""
+    r, s = random.Random(3), lines.Settings()
+    known = "a of the it on in to is page total word number information x1 漢".split()
+
+    def changed(x, k, new):
+        for _ in range(k):
+            kind, at = r.randrange(3), r.randrange(len(x) + 1)
+            x = x[:at] + [r.choice(new)] * (kind < 2) + x[at + (kind > 0) :]
+        return x
+
+    rows = []
+    for k in range(1500):
+        x = [r.choice(known) for _ in range(r.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 33, 70, 130]))]
+        line = " ".join(x)
+        if len(x) < 9 and k % 2:
+            other = "".join(changed(list(line), r.randint(1, len(line) // 5 + 1), "abxyz"))
+        else:
+            other = " ".join(changed(x, r.randint(1, len(x) // 5 + 1), known))
+        rows.append((k, normal_line(line), normal_line(other)))
+    df = spark.createDataFrame([x for x in rows if x[1] != x[2]], "id long, x string, y string")
+    ws = {v: lines.words_of(F.col(v)) for v in "xy"}
+    df = df.select("id", *(c for v in "xy" for c in (F.size(ws[v]).alias(f"{v}n"), lines.symbols(ws[v]).alias(f"{v}sym"), F.col(v).alias(f"{v}line"))))
+    df = df.where(lines.linked(s)).persist()
+    one = {v: df.select(F.col("id").alias("h"), F.col(f"{v}n").alias("n"), F.col(f"{v}sym").alias("sym"), F.col(f"{v}line").alias("line")) for v in "xy"}
+    keys = {v: lines.block_keys(one[v].select("h", "line"), s).distinct() for v in "xy"}
+    met = {x["h"] for x in keys["x"].join(keys["y"], ["h", "key"]).select("h").distinct().collect()}
+    marks = {v: lines.sketches(one[v]) for v in "xy"}
+    marks["y"] = marks["y"].withColumnsRenamed({c: f"o_{c}" for c in marks["y"].columns})
+    passed = {x["h"] for x in marks["x"].join(marks["y"], F.col("h") == F.col("o_h")).where(lines.may_link(s)).select("h").collect()}
+    linked = {x["id"] for x in df.select("id").collect()}
+    assert len(linked) > 1000 and met == linked and passed == linked
+
+
 def test_line_dedup_of_short_wide_and_long_lines(spark):
     r = random.Random(9)
     long_line = [f"w{r.randint(0, 10**6)}" for _ in range(2500)]
