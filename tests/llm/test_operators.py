@@ -14,7 +14,7 @@ from itertools import islice
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontam, licenses, lines, minhash, mixing, quality, repeats, rules, urlfilter, warc
+from quillmill.llm import decontam, graph, licenses, lines, minhash, mixing, quality, repeats, rules, store, urlfilter, warc
 from tests.llm.helpers import SCHEMA, documents, edited, frame, prose, words
 
 
@@ -540,6 +540,57 @@ def test_lines_that_reach_the_similarity_share_a_key_and_pass_the_sketch(spark):
     assert len(linked) > 1000 and met == linked and passed == linked
 
 
+def test_keys_that_one_line_alone_has_are_not_written(spark, monkeypatch):
+    """Some twenty keys a line would be more than the input; what is written follows the lines."""
+    r, sizes = random.Random(8), {}
+
+    def counted(df, name, *a, f=store.written, **b):
+        out = f(df, name, *a, **b)
+        sizes[name] = max(out.count(), sizes.get(name, 0))
+        return out
+
+    monkeypatch.setattr(store, "written", counted)
+    rows = [(k, "\n".join(" ".join(f"w{r.randint(0, 10**9)}" for _ in range(40)) for _ in range(10)), "s0") for k in range(30)]
+    assert not any(x["n_gone"] for x in lines.deduplicated(frame(spark, rows, False)).collect())
+    assert sizes["lines"] == 300 and max(sizes.values()) == 300, sizes
+
+
+def test_groups_by_hubs_are_those_of_all_pairs(spark):
+    """A hub leaves its bucket once it has met all of it; no other pair goes unmet."""
+    r = random.Random(4)
+    at = {k: r.randint(0, 900) for k in range(400)}
+    rows = sorted({(r.randint(0, 90) if r.random() < 0.7 else 1000 + k // 2, k) for k in range(400) for _ in range(4)})
+    near = lambda x, y: abs(at[x] - at[y]) <= 6
+    group = {k: k for k in at}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    by = defaultdict(list)
+    for key, k in rows:
+        by[key].append(k)
+    linked = {(x, y) for ids in by.values() for x in ids for y in ids if x < y and near(x, y)}
+    for x, y in linked:
+        group[max(root(x), root(y))] = min(root(x), root(y))
+    want = {k: root(k) for pair in linked for k in pair}
+    places = spark.createDataFrame(list(at.items()), "id long, at long")
+    met = []
+
+    def verify(pairs):
+        x, y = (places.select(F.col("id").alias(k), F.col("at").alias(f"at_{k}")) for k in "ab")
+        met.append(store.written(pairs, "met").collect())
+        return store.written(pairs.join(x, "a").join(y, "b").where("abs(at_a - at_b) <= 6").select("a", "b"), "links")
+
+    for rounds in (0, 1, 3):
+        met.clear()
+        open_ = graph.shared_buckets(spark.createDataFrame(rows, "key long, id long"))
+        got = graph.by_hubs(open_, verify, lambda open_: verify(graph.stray_pairs(open_.select("key", "id", "label"))), rounds)
+        assert {x["node"]: x["component"] for x in got.collect()} == want
+        assert all(x["a"] < x["b"] for pairs in met for x in pairs) and len(met) == rounds + 1
+
+
 def test_line_dedup_of_short_wide_and_long_lines(spark):
     r = random.Random(9)
     long_line = [f"w{r.randint(0, 10**6)}" for _ in range(2500)]
